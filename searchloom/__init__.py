@@ -1,0 +1 @@
+"""searchloom: building, searching and measuring text-retrieval collections on Spark."""

@@ -1,9 +1,14 @@
 """The registered queries of the retrieval operators."""
 
+from __future__ import annotations
+
+from searchloom.plans import analytics_queries, curation_queries, ranking_queries  # noqa: F401
+from searchloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
