@@ -9,8 +9,9 @@ no bound reaches the K-th best, so the nearest are exact.
 
 Votes weigh by cosine, and by how many labelled rows an example stands for
 (each label has its own bound of ``MOST_EXAMPLES`` examples, by a hash of the
-text), with ``PRIOR_VOTES`` votes for the share of toxic rows among those that
-hold none of the terms. A text without any of the terms (an empty one too)
+text; near copies, which share their least shingle hash, are one), with
+``PRIOR_VOTES`` votes for the share of toxic rows among those that hold none of
+the terms. A text without any of the terms (an empty one too)
 gets that share. Evidence: the nearest examples with cosine and label.
 
 Edge cases: a null text is an empty one; a null id is not held out and has no
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,9 +38,10 @@ from searchloom.llm.common import ALNUM_TABLE, pick, stage, word_blocks
 
 FOLDS = 5
 MOST_EXAMPLES = 3000
-TERMS, LEAST_DOCS = 384, 8
+#: A term is in this many toxic examples at least (and this share of them), and so many times more often than elsewhere.
+TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 256, 5, 0.01, 3.0
 STEMS = (4, 5, 6)
-K, BLOCK, PRIOR_VOTES = 15, 64, 0.25
+K, BLOCK, PRIOR_VOTES = 15, 64, 2.0
 
 RESULT = T.StructType(
     [
@@ -87,18 +90,32 @@ class Terms:
         return out
 
 
+def without_near_copies(examples: list[tuple[int, bytes, int]]) -> list[tuple[int, bytes, int]]:
+    """One example of each label and least hash of 3-word shingles, so that a much copied text isn't many examples."""
+    kept: dict[tuple[int, int], tuple[int, bytes, int]] = {}
+    for example in examples:
+        least, carry = 1 << 32, []
+        for words in word_blocks(example[1].translate(ALNUM_TABLE)):
+            words = carry + words
+            carry = words[-2:]
+            least = min(least, min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=least))
+        kept.setdefault((least, example[2]), example)
+    return list(kept.values())
+
+
 def choose_terms(examples: list[tuple[int, bytes, int]]) -> list[bytes]:
-    """Terms of at least ``LEAST_DOCS`` toxic examples, more frequent among them, by divergence."""
+    """Terms that many toxic examples hold, and far more often than the others, by divergence."""
     sizes, found = [0, 0], [Counter(), Counter()]
     for _, data, label in examples:
         sizes[label] += 1
         found[label].update({t for w in word_counts(data) for t in terms_of(w)})
     scored = []
+    least = max(LEAST_DOCS, LEAST_SHARE * sizes[1])
     for term, n in found[1].items():
-        if n < LEAST_DOCS:
+        if n < least:
             continue
         p, q = (n + 0.5) / (sizes[1] + 1), (found[0][term] + 0.5) / (sizes[0] + 1)
-        if p > q:
+        if p >= LEAST_RATIO * q:
             scored.append(((p - q) * math.log(p / q), term))
     return [t for _, t in heapq.nlargest(TERMS, scored)]
 
@@ -230,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Data
     chosen = stage(known.where(key < limit).select("doc_id", "label"), "toxicity-chosen")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     examples = [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.toLocalIterator()]
-    examples.sort(key=lambda r: r[0])
+    examples = without_near_copies(sorted(examples, key=lambda r: r[0]))
     counts = Counter(label for _, _, label in examples)
     weights = [sizes.get(c, 0) / counts[c] if counts[c] else 0.0 for c in (0, 1)]
     _serial += 1
