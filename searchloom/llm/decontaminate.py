@@ -211,13 +211,13 @@ def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
 def _built(docs: DataFrame, items: DataFrame):
     """The index of one block with corpus counts of its shingles."""
     spark = docs.sparkSession
-    rows = [(r["item"], bytes(r["text"])) for r in items.select("item", F.col("text").cast("binary")).toLocalIterator()]
+    rows = [(r["item"], bytes(r["text"])) for r in items.select("item", F.col("text").cast("binary")).collect()]
     index = WindowIndex(rows)
     counts = {}
     if index.windows:
         found = docs.select("text").mapInArrow(_counter(_share(spark, index)), "shingle long, n long")
         # At most one row a shingle of the block, whose size is bounded.
-        counts = {r["shingle"]: r["n"] for r in found.groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
+        counts = {r["shingle"]: r["n"] for r in found.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
     index.order(counts)
     return _hits_udf(_share(spark, index))
 

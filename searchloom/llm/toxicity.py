@@ -246,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Data
         limit = F.when(F.col("label") == c, int(s * (1 << 30))).otherwise(limit)
     chosen = stage(known.where(key < limit).select("doc_id", "label"), "toxicity-chosen")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-    examples = [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.toLocalIterator()]
+    examples = [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.collect()]
     examples = without_near_copies(sorted(examples, key=lambda r: r[0]))
     counts = Counter(label for _, _, label in examples)
     weights = [sizes.get(c, 0) / counts[c] if counts[c] else 0.0 for c in (0, 1)]
