@@ -22,7 +22,8 @@ def accented(patterns: DataFrame) -> DataFrame:
 def searches(prefixes: DataFrame) -> DataFrame:
     """Each prefix alone and followed by each letter."""
     letters = F.array(*[F.lit(x) for x in ["", *map(chr, range(97, 123)), "ñ"]])
-    return prefixes.select(F.trim(F.concat("prefix", F.explode(letters))).alias("search"))
+    rows = prefixes.select("prefix", F.explode(letters).alias("letter"))
+    return rows.select(F.trim(F.concat("prefix", "letter")).alias("search"))
 
 
 def longest_seed(results: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -70,14 +71,13 @@ def local_suggestions(suggestions: DataFrame, control: str, least: int = 15) ->
 
 def crawl(start: DataFrame, suggestions: DataFrame, patterns: DataFrame, words_to_add: list[int], most: int | None = None) -> DataFrame:
     """Rounds of asking a table of suggestions: results of a round give the prefixes of the next."""
+    answers = suggestions.select(F.trim("prefix").alias("search"), F.col("suggestion").alias("result"))
     asked = start.select("prefix")
-    found = searches(asked).join(suggestions, F.col("search") == F.trim("prefix"), "inner")
-    found = found.select(F.col("suggestion").alias("result")).distinct()
+    found = searches(asked).join(answers, "search").select("result").distinct()
     for n in words_to_add:
         if most is not None and found.count() >= most:
             break
         new = next_frontier(found, patterns, asked, n).select("prefix")
-        more = searches(new).join(suggestions, F.col("search") == F.trim("prefix"), "inner")
-        found = found.union(more.select(F.col("suggestion").alias("result"))).distinct()
+        found = found.union(searches(new).join(answers, "search").select("result")).distinct()
         asked = asked.union(new).distinct()
     return found

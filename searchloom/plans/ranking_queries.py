@@ -30,10 +30,10 @@ def _top(spark: SparkSession, folder: str, k: int) -> DataFrame:
     )
 
 
-@query(f"""WITH {_DOTS} SELECT qid, docid, rank, round(score, 6) AS score FROM
+@query(f"""WITH {_DOTS} SELECT qid, docid, rank, score FROM
   (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS INT) AS rank FROM scores) WHERE rank <= 20""")
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(spark, folder, 20).select("qid", "docid", "rank", F.round("score", 6).alias("score"))
+    return _top(spark, folder, 20).select("qid", "docid", "rank", "score")
 
 
 @query(f"""WITH {_DOTS},
