@@ -25,8 +25,10 @@ _PRETOKEN = re.compile(
 _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]")
 #: A text may be cut before a single space between two words.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PIECE = 1 << 20
-_MOST_KEPT = 500_000
+#: New pre-tokens that begin with a space are encoded together: the library parts them again.
+_SPACED = re.compile(f" [{_LETTERS}]+")
+_PIECE, _TOGETHER = 1 << 18, 1000
+_MOST_KEPT = 700_000
 
 
 class Encoder:
@@ -39,33 +41,75 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
 
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        tokens = _PRETOKEN.findall(text)
-        new = list(set(tokens).difference(self.known))
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self.known) + len(tokens) > _MOST_KEPT:
+            self.known.clear()
+        spaced = [t for t in tokens if _SPACED.fullmatch(t)]
+        size = self.dtype.itemsize
+        for at in range(0, len(spaced), _TOGETHER):
+            part = spaced[at : at + _TOGETHER]
+            found = self.library.encode("".join(part), add_special_tokens=False)
+            raw = np.array(found.ids, self.dtype).tobytes()
+            starts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)) * size
+            ends = [*starts[1:].tolist(), len(raw)]
+            for token, a, b in zip(part, starts.tolist(), ends, strict=True):
+                self.known[token] = raw[a:b]
+        rest = [*tokens.difference(spaced)]
+        for token, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[token] = np.array(found.ids, self.dtype).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        looked, new = [], set()
+        for piece in pieces:
+            tokens = _PRETOKEN.findall(piece)
+            values = list(map(self.known.get, tokens))
+            holes = [i for i, v in enumerate(values) if v is None]
+            new.update([tokens[i] for i in holes])
+            looked.append((tokens, values, holes))
         if new:
-            if len(self.known) + len(new) > _MOST_KEPT:
-                self.known.clear()
-                new = list(set(tokens))
-            for token, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[token] = self._raw(found.ids)
-        return b"".join(map(self.known.__getitem__, tokens))
+            self._learn(new)
+        out = []
+        for tokens, values, holes in looked:
+            for i in holes:
+                values[i] = self.known[tokens[i]]
+            out.append(b"".join(values))
+        return out
+
+    def _cut(self, text: str) -> list[str]:
+        pieces, at = [], 0
+        while len(text) - at > _PIECE and (cut := _CUT.search(text, at + _PIECE)):
+            pieces.append(text[at : cut.start()])
+            at = cut.start()
+        return [*pieces, text[at:]]
+
+    def raw_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as bytes of ``dtype``."""
+        out: list[bytes] = [b""] * len(texts)
+        group: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for i, raw in zip(group, self._pieces([texts[i] for i in group]), strict=True):
+                out[i] = raw
+            group.clear()
+
+        for i, text in enumerate(texts):
+            if _OTHER.search(text) or (self.special and self.special.search(text)):
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                out[i] = np.array(ids, self.dtype).tobytes()
+            elif len(text) > _PIECE:
+                out[i] = b"".join(b"".join(self._pieces([p])) for p in self._cut(text))
+            else:
+                group.append(i)
+                size += len(text)
+                if size > _PIECE:
+                    flush()
+                    size = 0
+        flush()
+        return out
 
     def raw(self, text: str) -> bytes:
-        """Ids of a whole text, as bytes of ``dtype``."""
-        if _OTHER.search(text) or (self.special and self.special.search(text)):
-            return self._raw(self.library.encode(text, add_special_tokens=False).ids)
-        if len(text) <= _PIECE:
-            return self._piece(text)
-        parts, at = [], 0
-        while at < len(text):
-            cut = _CUT.search(text, at + _PIECE)
-            end = cut.start() if cut else len(text)
-            parts.append(self._piece(text[at:end]))
-            at = end
-        return b"".join(parts)
+        return self.raw_many([text])[0]
 
     def count(self, text: str) -> int:
         return len(self.raw(text)) // self.dtype.itemsize

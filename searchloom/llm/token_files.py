@@ -41,6 +41,8 @@ from searchloom.llm.bpe import encoder
 from searchloom.llm.common import pick, scratch_path, shuffle_partitions
 
 END_ID = 2
+#: Texts that are encoded together.
+_TEXTS = 64
 VERSION = 1
 
 
@@ -136,8 +138,11 @@ def _shard_writer(folder: str, vocabulary: str, end_id: int):
             if not batch.num_rows:
                 continue
             writer = writer or ShardWriter(folder, shard, encode.dtype)
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(key, encode.raw(text.as_py() or "") + end)
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for key, raw in zip(part.column(0).to_pylist(), encode.raw_many(texts), strict=True):
+                    writer.add(key, raw + end)
         if writer:
             low, high = writer.keys[0], writer.keys[-1]
             rows, tokens = writer.close()
@@ -159,7 +164,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         _shard_writer(folder, vocabulary, end_id), "shard long, n_rows long, tokens long, low long, high long"
     )
     manifest, start = [], 0
-    for row in sorted(written.toLocalIterator(), key=lambda r: r["shard"]):
+    for row in sorted(written.collect(), key=lambda r: r["shard"]):
         manifest.append(row.asDict() | {"start": start})
         start += row["tokens"]
     fs, base = _open(folder)
