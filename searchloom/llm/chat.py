@@ -64,7 +64,8 @@ def unescape_role(role: str) -> str:
 
 def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
     """Windows of one conversation, from an iterator of ``(role, text)``:
-    ``(system and repeated turns, new turns, tokens)``. count: tokens of a turn."""
+    ``(system and repeated turns, new turns, tokens)``; the system turn is new in
+    the first. count: tokens of a turn."""
     system: list = []
     system_cost = 0
     before: deque = deque()  # turns that may be repeated: (prefix sum before, turn)
@@ -72,13 +73,15 @@ def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
     repeated: list = []
     new: list = []
     start = 0  # prefix sum before the window's first turn, repeated ones included
+    first = True
     for role, text in turns:
         cost = count(role, text) + MARKS
         if not new and not before and not system and role == "system":
             system, system_cost = [(role, text)], cost
             continue
         if new and system_cost + prefix - start + cost > budget:
-            yield system + repeated, new, system_cost + prefix - start
+            yield ([], system + new, system_cost + prefix) if first else (system + repeated, new, system_cost + prefix - start)
+            first = False
             room = min(history, budget - system_cost - cost)
             chosen = [(p, turn) for p, turn in before if prefix - p <= room]
             repeated, new = [turn for _, turn in chosen], []
@@ -88,8 +91,10 @@ def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
         prefix += cost
         while before and prefix - before[0][0] > history:
             before.popleft()
-    if new or system:
-        yield (system + repeated, new, system_cost + prefix - start) if new else ([], system, system_cost)
+    if first and (new or system):
+        yield [], system + new, system_cost + prefix
+    elif new:
+        yield system + repeated, new, system_cost + prefix - start
 
 
 def render(repeated: list, new: list) -> tuple[str, list[int], list[int]]:

@@ -57,10 +57,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """The columns of exactly these names, by position, so that other columns
     whose names differ only in case (or are repeated) do no harm."""
     at = [df.columns.index(name) for name in names]
-    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    flat = numbered(df)
     return flat.select(*[F.col(f"_{i}").alias(name) for i, name in zip(at, names, strict=True)])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named ``_0``, ``_1`` ... by position: no name can clash."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

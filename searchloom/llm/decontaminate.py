@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from searchloom.llm.common import ALNUM_TABLE, pick, word_blocks
+from searchloom.llm.common import ALNUM_TABLE, numbered, pick, word_blocks
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_BYTES = 16 << 20
@@ -227,12 +227,13 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", block_b
     merged spans of hit words (end exclusive) and the ids of items met."""
     items = pick(benchmark, "item_id", "text").toDF("item", "text")
     items = items.where("item is not null and text is not null").withColumn("item", F.col("item").cast("string"))
-    udfs = [_built(docs, block) for block in _blocks(items, block_bytes)]
+    udfs = [_built(pick(docs, "text"), block) for block in _blocks(items, block_bytes)]
+    text, rows = F.col(f"_{docs.columns.index('text')}"), numbered(docs)
     if len(udfs) == 1:
-        return docs.withColumn(name, udfs[0](F.col("text")))
+        return rows.withColumn("_hits", udfs[0](text)).toDF(*docs.columns, name)
     parts = [f"_hits{i}" for i in range(len(udfs))]
     for part, udf in zip(parts, udfs, strict=True):
-        docs = docs.withColumn(part, udf(F.col("text")))
+        rows = rows.withColumn(part, udf(text))
     spans = F.array_sort(F.flatten(F.array(*[F.arrays_zip(f"{p}.starts", f"{p}.ends") for p in parts])))
     merged = F.aggregate(
         spans,
@@ -256,7 +257,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", block_b
         merged["e"].alias("ends"),
         F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts])))).alias("items"),
     )
-    return docs.withColumn(name, whole).drop(*parts)
+    return rows.withColumn("_hits", whole).drop(*parts).toDF(*docs.columns, name)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, carry: bool = True) -> DataFrame:
         )
         for i in range(MOST):
             rows = rows.withColumn(f"_end{i}", F.col("_end") + i * F.col("source_size"))
-            rows = rows.withColumn(f"_time{i}", F.col(f"_end{i}") / F.col("target"))
+            rows = rows.withColumn(f"_time{i}", F.try_divide(F.col(f"_end{i}").cast("double"), "target"))
         return rows
 
     rows = queued(narrow)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from searchloom.llm.common import word_blocks
+from searchloom.llm.common import numbered, word_blocks
 
 #: Most percent of word characters inside n-grams that occur twice or more (the first time counts too), by n.
 NGRAM_PERCENT = {5: 50, 6: 48, 7: 46, 8: 45, 9: 44, 10: 43}
@@ -161,7 +161,8 @@ def quality_udf(texts: pa.Array) -> pa.Array:
 
 def with_quality(docs, text_col: str = "text", name: str = "quality"):
     """``docs`` with a struct of the measures and the verdict of each text."""
-    return docs.withColumn(name, quality_udf.asNondeterministic()(F.col(text_col)))
+    text = F.col(f"_{docs.columns.index(text_col)}")
+    return numbered(docs).withColumn(name, quality_udf.asNondeterministic()(text)).toDF(*docs.columns, name)
 
 
 _RULES = " AND ".join(
