@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from searchloom.functions import vectors
-from searchloom.operators import evaluate, match, mining, retrieve
+from searchloom.operators import dataset, evaluate, match, mining, retrieve
 from searchloom.operators.corpus import passages
 from searchloom.plans.registry import query
 from searchloom.sources import writers
@@ -213,3 +213,24 @@ def passage_match(spark: SparkSession, folder: str) -> DataFrame:
     found = passages(docs).select("docid", first_words(F.col("text"), 2).alias("title"), "text")
     found = found.withColumn("passage_ix", F.substring_index("docid", "#", -1).cast("long"))
     return match.match(answers, found).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'P' THEN 'no_country' ELSE o_orderstatus END AS country, o_orderkey AS id, o_orderpriority AS query, CAST(o_custkey AS VARCHAR) AS docid,
+  c_name AS docid_text, CAST(o_orderdate AS DATE) AS query_date, CAST(o_orderdate AS DATE) AS answer_date, CAST(round_even(o_totalprice / 500000, 4) AS FLOAT) AS match_score,
+  o_orderstatus = 'F' AS expanded_search, o_orderpriority AS answer_type FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_totalprice / 500000 > 0.5""")
+def judged_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as queries, pages and matched answers; customers as passages."""
+    rows = table(spark, folder, "orders")
+    queries = rows.selectExpr("o_orderkey AS id", "o_orderpriority AS question", "replace(o_orderstatus, 'P', 'general') AS country", "CAST(o_orderdate AS DATE) AS date")
+    found = rows.selectExpr(
+        "o_orderkey AS id", "CAST(o_custkey AS STRING) AS corpus_docid", "o_totalprice / 500000 AS match_score",
+        "o_orderstatus = 'F' AS expanded_search", "o_orderpriority AS answer_type",
+    )
+    texts = table(spark, folder, "customer").selectExpr("CAST(c_custkey AS STRING) AS docid", "c_name AS text")
+    return dataset.judged_dataset(queries, queries.select("id", "date"), found, texts)
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS qid, 'Q0' AS q0, CAST(l_partkey AS VARCHAR) AS docid, 1 AS rel FROM lineitem WHERE l_quantity > 25")
+def canonical_judgments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").withColumn("rel", (F.col("l_quantity") > 25).cast("int"))
+    return dataset.canonical_qrels(rows, "l_orderkey", "l_partkey", "rel")

@@ -65,7 +65,7 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 def passages(spark: SparkSession, path: str) -> DataFrame:
     """Passage shards. A gzip shard is one task, so rows are dealt out after it."""
     rows = spark.read.schema(schemas.PASSAGES).json(path)
-    return rows.repartition(max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:

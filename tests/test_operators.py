@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from searchloom.operators import agreement, corpus, curate, evaluate, html_extract, match, mining, retrieve, sampling, split, topics
+from searchloom.operators import agreement, corpus, curate, dataset, evaluate, html_extract, match, mining, retrieve, sampling, split, topics
 from searchloom.plans.ordering import running_totals
 from searchloom.sources import readers, writers
 
@@ -74,7 +75,8 @@ def test_dense_topk_is_a_full_sort(spark, block_values):
     rows = spark.createDataFrame(list(enumerate(vectors)), "docid long, embedding array<float>").repartition(3)
     queries = rows.withColumnRenamed("docid", "qid").where("qid < 5")
     got = retrieve.dense_topk(queries, rows, 4, block_values).collect()
-    scores = {(r["qid"], r["docid"]): r["score"] for r in retrieve.dense_scores(queries, rows).collect()}
+    matrix = np.array(vectors, np.float32).astype(np.float64)
+    scores = matrix @ matrix.T
     for q in range(5):
         want = sorted(range(20), key=lambda d: (-round(scores[q, d], 9), d))[:4]
         assert [r["docid"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == want
@@ -241,3 +243,35 @@ def test_plans(spark, folder):
     assert "WindowGroupLimit" in plan
     plan = catalogue.queries()["star_join_matched"](spark, folder)._jdf.queryExecution().toString()
     assert "GreaterThan(l_discount,0.05)" in plan and "CartesianProduct" not in plan
+
+
+def test_judged_dataset(spark):
+    queries = spark.createDataFrame([(1, "que es", "general"), (2, "como brainly", "mx"), (3, "por que", "mx")], "id int, question string, country string").selectExpr("*", "DATE'2024-01-01' AS date")
+    pages = spark.sql("SELECT id, DATE'2024-02-01' AS date FROM VALUES 1, 2, 3 AS t(id)")
+    found = spark.createDataFrame([(1, "a#1", 0.50001, True, "feat_snip"), (2, "a#1", 0.9, False, "descript"), (3, "a#1", 0.5, False, "descript")], "id int, corpus_docid string, match_score double, expanded_search boolean, answer_type string")
+    passages = spark.createDataFrame([("a#1", "T", "x"), ("a#1", "T", "x")], "docid string, title string, text string")
+    (row,) = dataset.judged_dataset(queries, pages, found, passages).collect()
+    assert (row["country"], row["docid_text"], row["match_score"]) == ("no_country", "x", 0.5)
+    contents, ids = dataset.training_passages(passages.distinct())
+    assert ids.first()["new_id"] == "0" and contents.first()["contents"] == "x"
+
+
+def test_collections(spark):
+    rows = spark.createDataFrame([("q", "d1 d2 d1")], "qid string, ids string")
+    assert {r["docid"] for r in dataset.listed_qrels(rows, "qid", "ids").collect()} == {"d1", "d2"}
+    wide = spark.createDataFrame([(1, "q", 7, "t"), (1, "q", 8, "u"), (1, "q", 7, "t")], "qid int, q string, d int, t string")
+    corpus_, topics_, qrels = dataset.wide_collection(wide, "qid", "q", "d", "t")
+    assert (corpus_.count(), topics_.count(), qrels.count()) == (2, 1, 2)
+    triples = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "qid string, positive string")
+    assert tuple(dataset.triples_stats(triples, spark.createDataFrame([("a",)], "qid string")).first()) == (1, 1)
+
+
+def test_token_bounds(spark):
+    import public_tokenizers
+
+    from searchloom.functions import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([("one two three",), ("",), (None,)], "t string")
+    got = rows.select(tokens.token_length(path, 2)("t").alias("n"), tokens.truncated(path, 2)("t").alias("c")).collect()
+    assert [tuple(r) for r in got] == [(2, "one two"), (0, ""), (None, None)]
