@@ -8,8 +8,8 @@ each term in it; a text's blocks are scored from the highest bound down, until
 no bound reaches the K-th best, so the nearest are exact.
 
 Votes weigh by cosine, and by how many labelled rows an example stands for
-(each label has its own bound of ``MOST_EXAMPLES`` examples, by a hash of the
-text; near copies, which share their least shingle hash, are one), with
+(each label has its own bound of about ``MOST_EXAMPLES`` examples, by a hash of
+the id; near copies, which share their least shingle hash, are one), with
 ``PRIOR_VOTES`` votes for the share of toxic rows among those that hold none of
 the terms. A text without any of the terms (an empty one too)
 gets that share. Evidence: the nearest examples with cosine and label.
@@ -131,17 +131,17 @@ class BlockMaxIndex:
             if vector is None:
                 empty[label] += weights[label]
             else:
-                rows.append((doc_id, label, *vector))
+                rows.append((doc_id, label, *vector, data))
         self.base = (empty[1] + sum(weights) * 1e-6) / (sum(empty) + 1) if sum(empty) else 0.0
-        # Examples alike in their strongest term share blocks, which tightens the bounds.
-        rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))
+        # Examples alike in their strongest term share blocks, which tightens the bounds. Ids play no part in the order.
+        rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[4]))
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.int64)
         self.votes = np.array([weights[r[1]] for r in rows])
         n_blocks = -(-len(rows) // BLOCK)
         self.bounds = np.zeros((len(terms), n_blocks))
         postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(n_blocks)] for _ in terms]
-        for at, (_, _, where, values) in enumerate(rows):
+        for at, (_, _, where, values, _) in enumerate(rows):
             for t, v in zip(where.tolist(), values.tolist(), strict=True):
                 postings[t][at // BLOCK].append((at, v))
                 self.bounds[t, at // BLOCK] = max(self.bounds[t, at // BLOCK], v)
@@ -158,9 +158,9 @@ class BlockMaxIndex:
         return where, values / np.sqrt((values * values).sum())
 
     def nearest(self, where: np.ndarray, values: np.ndarray, k: int = K) -> list[tuple[float, int]]:
-        """The k examples of highest cosine, as ``(cosine, example)``; ties by id."""
+        """The k examples of highest cosine, as ``(cosine, example)``; ties by their order."""
         bounds = values @ self.bounds[where]
-        best: list[tuple[float, int, int]] = []  # a heap of (cosine, -id, example)
+        best: list[tuple[float, int]] = []  # a heap of (cosine, -example)
         for block in np.argsort(-bounds, kind="stable").tolist():
             if bounds[block] <= 0 or len(best) == k and bounds[block] < best[0][0] - 1e-12:
                 break
@@ -171,12 +171,12 @@ class BlockMaxIndex:
                     scores[part[0] - block * BLOCK] += v * part[1]
             for j in np.flatnonzero(scores > 0).tolist():
                 at = block * BLOCK + j
-                entry = (round(float(scores[j]), 12), -int(self.ids[at]), at)
+                entry = (round(float(scores[j]), 12), -at)
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
-        return [(c, at) for c, _, at in sorted(best, reverse=True)]
+        return [(c, -at) for c, at in sorted(best, reverse=True)]
 
     def score(self, data: bytes | None) -> tuple[float, list[int], list[float], list[int]]:
         vector = self.vector(self.counter.counts(data))
