@@ -52,7 +52,8 @@ def agreement_distribution(rows: DataFrame, flag: str) -> DataFrame:
 
 def pairwise(rows: DataFrame) -> DataFrame:
     """Cohen's kappa and F1 of each pair of raters, from ``item, rater, value``:
-    the confusion counts of a pair give both in closed form."""
+    the confusion counts of a pair give both in closed form; null where chance
+    alone agrees always, or nothing is flagged."""
     a = rows.select("item", F.col("rater").alias("rater_a"), F.col("value").alias("a"))
     b = rows.select("item", F.col("rater").alias("rater_b"), F.col("value").alias("b"))
     pairs = a.join(b, "item").where("rater_a < rater_b")
@@ -64,8 +65,8 @@ def pairwise(rows: DataFrame) -> DataFrame:
     chance = (F.col("a1") * F.col("b1") + (F.col("n") - F.col("a1")) * (F.col("n") - F.col("b1"))) / (F.col("n") * F.col("n"))
     seen = F.col("same") / F.col("n")
     return t.select(
-        "rater_a", "rater_b", "n", F.round((seen - chance) / (1 - chance), 9).alias("kappa"),
-        F.round(2 * F.col("both") / (F.col("a1") + F.col("b1")), 9).alias("f1"),
+        "rater_a", "rater_b", "n", F.round(F.try_divide(seen - chance, 1 - chance), 9).alias("kappa"),
+        F.round(F.try_divide(2 * F.col("both"), F.col("a1") + F.col("b1")), 9).alias("f1"),
     )
 
 
@@ -74,7 +75,7 @@ def fleiss_kappa(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     cells = rows.groupBy(*by, "item", "value").agg(F.count("*").alias("c"))
     items = cells.groupBy(*by, "item").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("s"))
-    p_item = (F.col("s") - F.col("r")) / (F.col("r") * (F.col("r") - 1))
+    p_item = F.try_divide(F.col("s") - F.col("r"), F.col("r") * (F.col("r") - 1))
     seen = items.groupBy(*by).agg(F.avg(p_item).alias("seen"), F.sum("r").alias("total"))
     values = cells.groupBy(*by, "value").agg(F.sum("c").alias("c"))
     if by:
@@ -83,7 +84,7 @@ def fleiss_kappa(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
         shares = values.join(F.broadcast(seen.select("total")))
     chance = shares.groupBy(*by).agg(F.sum((F.col("c") / F.col("total")) * (F.col("c") / F.col("total"))).alias("e"))
     rows = seen.join(chance, by) if by else seen.join(F.broadcast(chance))
-    return rows.select(*by, F.round((F.col("seen") - F.col("e")) / (1 - F.col("e")), 9).alias("kappa"))
+    return rows.select(*by, F.round(F.try_divide(F.col("seen") - F.col("e"), 1 - F.col("e")), 9).alias("kappa"))
 
 
 def simulated_raters(spark: SparkSession, correlations: list[float], rates: list[float], trials: int, items: int, raters: int, seed: int = 33) -> DataFrame:

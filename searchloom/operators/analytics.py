@@ -85,7 +85,7 @@ def proportions(rows: DataFrame, group: str, side: str, sides: list[str], key: s
     """Distinct keys of each side, as shares of the group."""
     wide = rows.groupBy(group).pivot(side, sides).agg(F.countDistinct(key))
     total = sum((F.coalesce(F.col(s), F.lit(0)) for s in sides), F.lit(0))
-    return wide.select(group, *[F.round(F.coalesce(F.col(s), F.lit(0)) / total, 6).alias(s) for s in sides])
+    return wide.select(group, *[F.round(F.try_divide(F.coalesce(F.col(s), F.lit(0)), total), 6).alias(s) for s in sides])
 
 
 def word_tokens(rows: DataFrame, group: str, column: str) -> DataFrame:
@@ -104,7 +104,7 @@ def log_odds(rows: DataFrame, group: str, column: str, smooth: float = 0.1) -> D
     rows = counts.join(whole, "word").join(per, group).join(F.broadcast(sums))
     c, f = F.col("c") + smooth, F.col("f") + smooth
     s, t = F.col("c_sum") + smooth * F.col("v"), F.col("f_sum") + smooth * F.col("v")
-    return rows.select(group, "word", "c", F.round(F.log(c / (s - c)) - F.log(f / (t - f)), 6).alias("lor"))
+    return rows.select(group, "word", "c", F.round(F.log(F.try_divide(c, s - c)) - F.log(F.try_divide(f, t - f)), 6).alias("lor"))
 
 
 def multiplicities(rows: DataFrame, key: str) -> DataFrame:
@@ -116,7 +116,7 @@ def monthly_shares(rows: DataFrame, month: Column, category: str, value: str, ca
     """Mean over months of each category's share; months without it count 0."""
     sums = rows.select(month.alias("month"), category, value).groupBy("month").pivot(category, categories).agg(F.sum(value)).na.fill(0)
     total = sum((F.col(c) for c in categories), F.lit(0.0))
-    wide = sums.agg(*[F.round(F.avg(F.col(c) / total), 6).alias(c) for c in categories])
+    wide = sums.agg(*[F.round(F.avg(F.try_divide(F.col(c), total)), 6).alias(c) for c in categories])
     return wide.unpivot([], categories, category, "share")
 
 
