@@ -25,15 +25,15 @@ ACCENTED = {
 }
 
 #: Latin letters with marks and the plain ones; ``ñ`` last, for forms that keep it.
-_MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝŸÇ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyycAAAAAAEEEEIIIIOOOOOUUUUYYC"
+MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝŸÇ"
+PLAIN = "aaaaaaeeeeiiiiooooouuuuyycAAAAAAEEEEIIIIOOOOOUUUUYYC"
 #: Letters, numbers and underscore of any script: what ``\w`` means to the rules.
 WORD = r"\p{L}\p{N}_"
 
 
 def unaccent(text: Column, keep_enie: bool = False) -> Column:
     """Latin letters without their marks. keep_enie: ``ñ`` stays."""
-    marked, plain = (_MARKED, _PLAIN) if keep_enie else (_MARKED + "ñÑ", _PLAIN + "nN")
+    marked, plain = (MARKED, PLAIN) if keep_enie else (MARKED + "ñÑ", PLAIN + "nN")
     return F.translate(text, marked, plain)
 
 

@@ -14,8 +14,8 @@ from searchloom.operators import agreement, analytics, retrieve, sampling, topic
 from searchloom.plans.registry import query
 from searchloom.sources.readers import table
 
-_FROM = text._MARKED + "ñÑ"
-_TO = text._PLAIN + "nN"
+_FROM = text.MARKED + "ñÑ"
+_TO = text.PLAIN + "nN"
 
 
 def _first(n: int) -> str:

@@ -15,8 +15,8 @@ from searchloom.plans.registry import query
 from searchloom.sources import readers, writers
 from searchloom.sources.readers import table
 
-_FROM = text._MARKED + "ñÑ"
-_TO = text._PLAIN + "nN"
+_FROM = text.MARKED + "ñÑ"
+_TO = text.PLAIN + "nN"
 _PATTERNS = "|".join(p for p in text.NEGATIVE_PATTERNS if "(?<" not in p).replace("'", "''")
 _W = r"\p{L}\p{N}_"
 
@@ -226,7 +226,7 @@ def disjoint_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT doc_id, translate(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '%s', '%s') AS keep_enie,
   trim(regexp_replace(translate(regexp_replace(lower(text), '[!-/:-@\\[-`{-~¿¡]', '', 'g'), '%s', '%s'), '\\s+', ' ', 'g')) AS plain FROM documents"""
-    % (text._MARKED, text._PLAIN, _FROM, _TO))
+    % (text.MARKED, text.PLAIN, _FROM, _TO))
 def normal_forms(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
     return table(spark, folder, "documents").select("doc_id", text.normal_keep_enie(t).alias("keep_enie"), text.normal_ascii(t).alias("plain"))

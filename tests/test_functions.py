@@ -77,7 +77,7 @@ def test_udfs_over_nulls(spark):
 
 
 def test_unaccent_agrees_with_decomposition(spark):
-    marked = text._MARKED + "ñÑ"
+    marked = text.MARKED + "ñÑ"
     want = "".join(c for c in unicodedata.normalize("NFKD", marked) if not unicodedata.combining(c))
     assert one(spark, text.unaccent(F.lit(marked))) == want
 
