@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from searchloom.llm.common import pick, stage, word_count
+from searchloom.llm.common import pick, shuffle_partitions, stage, word_count
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -72,7 +72,7 @@ def _grouped(rows: DataFrame, bits: int) -> DataFrame:
 
 def mix(docs: DataFrame, carry: bool = True) -> DataFrame:
     """``docs`` (with ``doc_id, text, source``) with ``size, source_size,
-    target, copies`` and the finish time of the first copy. carry: keep the
+    target, copies`` and the finish times of the copies taken. carry: keep the
     columns of ``docs``; else the text is read once only."""
     sized = docs.withColumn("size", word_count(F.col("text")))
     narrow = stage(sized.select("doc_id", "source", "size"), "sizes")
@@ -122,8 +122,9 @@ def mix(docs: DataFrame, carry: bool = True) -> DataFrame:
             end = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["r"]).alias("r"), F.lit(last["e"]).alias("e"))
             fits = fits | (place <= end)
         taken = taken + F.coalesce(fits, F.lit(False)).cast("int")
+    times = F.slice(F.array(*[F.col(f"_time{i}") for i in range(MOST)]), F.lit(1), taken)
     names = docs.columns if carry else ["doc_id", "source"]
-    return out.select(*names, "size", "source_size", "target", taken.alias("copies"), F.col("_time0").alias("finish_time"))
+    return out.select(*names, "size", "source_size", "target", taken.alias("copies"), times.alias("finish_times"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -139,6 +140,14 @@ def mixture(docs: DataFrame) -> DataFrame:
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
+def ordered_mixture(docs: DataFrame) -> DataFrame:
+    """The mixed documents in the order in which the queue serves them: copies
+    range-sorted by finish time, so that any stretch has about the target mix."""
+    mixed = mix(docs).withColumn("_time", F.explode("finish_times"))
+    ordered = mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), "_time").sortWithinPartitions("_time")
+    return ordered.select(*docs.columns)
+
+
 ORACLE_SQL = f"""
 WITH sized AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),

@@ -80,6 +80,17 @@ def test_mixture_repeats_rows(spark):
     assert words == sum(r[4] for r in brute(rows()))
 
 
+def test_ordered_mixture_is_even(spark):
+    data = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts(n=300))]
+    want = sorted(map(tuple, mixing.mixture(frame(spark, data)).collect()))
+    got = list(map(tuple, mixing.ordered_mixture(frame(spark, data)).collect()))
+    assert sorted(got) == want
+    words = lambda rows, s: sum(len(r[1].split()) for r in rows if r[3] == s)
+    half = got[: len(got) // 2]
+    for s in ("s0", "s1", "s2"):
+        assert abs(words(half, s) / words(half, "s1") - words(got, s) / words(got, "s1")) < 0.5
+
+
 def test_query_equals_sql(spark, duck, folder):
     from searchloom.llm.queries import op7_mixing
 
