@@ -8,8 +8,8 @@ each term in it; a text's blocks are scored from the highest bound down, until
 no bound reaches the K-th best, so the nearest are exact.
 
 Votes weigh by cosine, and by how many labelled rows an example stands for
-(each label has its own bound of about ``MOST_EXAMPLES`` examples, by a hash of
-the id; near copies, which share their least shingle hash, are one), with
+(each label has its own bound of about ``MOST_EXAMPLES`` examples of at most
+``MOST_EXAMPLE_BYTES``, by a hash of the id; near copies, which share their least shingle hash, are one), with
 ``PRIOR_VOTES`` votes for the share of toxic rows among those that hold none of
 the terms. A text without any of the terms (an empty one too)
 gets that share. Evidence: the nearest examples with cosine and label.
@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from searchloom.llm.common import ALNUM_TABLE, pick, stage, word_blocks
 
 FOLDS = 5
-MOST_EXAMPLES = 3000
+#: Examples of each label, and the longest text that is one: together they bound what the driver gathers and sends.
+MOST_EXAMPLES, MOST_EXAMPLE_BYTES = 3000, 1 << 15
 #: A term is in this many toxic examples at least (and this share of them), and so many times more often than elsewhere.
 TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 256, 5, 0.01, 3.0
 STEMS = (4, 5, 6)
@@ -245,7 +246,8 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Data
     for c, s in share.items():
         limit = F.when(F.col("label") == c, int(s * (1 << 30))).otherwise(limit)
     chosen = stage(known.where(key < limit).select("doc_id", "label"), "toxicity-chosen")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    short = texts.where(F.octet_length("text") <= MOST_EXAMPLE_BYTES)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     examples = [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.collect()]
     examples = without_near_copies(sorted(examples, key=lambda r: r[0]))
     counts = Counter(label for _, _, label in examples)
