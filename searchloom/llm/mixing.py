@@ -31,7 +31,7 @@ from searchloom.llm.common import pick, shuffle_partitions, stage, word_count
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix holds, in percent, and the most often that a source may be taken.
 PERCENT, MOST = 150, 2
-_GROUP_ROWS = 4096
+_GROUP_ROWS = 1024
 _MAX_BITS = 20
 
 
