@@ -85,7 +85,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None) ->
         misses = texts.select("digest", "text").dropDuplicates(["digest"]).join(stored(), "digest", "left_anti")
         counts = misses.select("digest", "text").mapInArrow(_encoder(vocabulary), "digest binary, n_tokens long")
         counts.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(folder)
-    return rows.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # A table, so that nothing stands between the join and its shuffles and Spark can split a digest of many rows.
+    known = stage(stored().join(rows.select("digest").distinct(), "digest", "left_semi"), "counts")
+    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def report(docs: DataFrame, vocabulary: str, cache: str | None = None) -> DataFrame:
