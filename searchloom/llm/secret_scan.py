@@ -5,8 +5,13 @@ of ``[A-Za-z0-9+/_=-]``). A window of ``WINDOW`` characters slides over a
 candidate; one count goes up, one goes down, and the sum of ``c * log2(c)``
 follows them, so each step is constant work. A candidate of hexadecimal digits
 and one of mixed characters have their own thresholds. Candidates of the
-allow-list (no digit, no letter, UUIDs, paths, long runs of the alphabet,
-placeholders) and those that meet a span of a pattern are suppressed.
+allow-list (no digit, no letter, UUIDs, paths and chains of words, long runs of
+the alphabet, placeholders) and those that meet a span of a pattern are
+suppressed. A path or a chain with one piece that isn't a word, such as
+``KEY_NAME=`` before a key, is measured whole.
+
+The SQL suppresses every path and chain: it differs from the query where one
+holds a piece that isn't a word and a window reaches the threshold.
 
 Places of all matches come from the pieces between them (``split``), so they
 count code points.
@@ -38,15 +43,19 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window must reach, for hexadecimal and for mixed candidates.
 HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Candidates that are never secrets.
-ALLOW = (
-    "^[^0-9]*$",
-    "^[^A-Za-z]*$",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "(/[^/]*){3}",
-    "([-_=][A-Za-z0-9]*){4}",
-    "[eE][xX][aA][mM][pP][lL][eE]|abcdefgh|ABCDEFGH|01234567|xxxxxxxx|XXXXXXXX",
+#: A piece between separators that reads as a word or a number, or a whole UUID.
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+_WORD = (
+    f"(?>(?:{_UUID}|[A-Z]?[a-z]{{0,15}}(?:[A-Z][a-z]{{1,15}}){{0,3}}[0-9]{{0,4}}|[A-Z]{{1,15}}[0-9]{{0,4}}|[0-9]*)"
+    "(?![A-Za-z0-9]))"
 )
+_PATH, _SEPARATED = "(/[^/]*){3}", "([-_=][A-Za-z0-9]*){4}"
+_PLAIN = ("^[^0-9]*$", "^[^A-Za-z]*$", f"^{_UUID}$")
+_PLACEHOLDER = "[eE][xX][aA][mM][pP][lL][eE]|abcdefgh|ABCDEFGH|01234567|xxxxxxxx|XXXXXXXX"
+#: Candidates that are never secrets: a path or a chain of names only where every piece is a word.
+ALLOW = (*_PLAIN, f"^(?=.*(?:{_PATH}|{_SEPARATED})){_WORD}(?:[-_=/+]{_WORD})*+$", _PLACEHOLDER)
+#: The allow-list of the SQL, which takes every path and chain as harmless, whatever its pieces.
+SQL_ALLOW = (*_PLAIN, _PATH, _SEPARATED, _PLACEHOLDER)
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -174,7 +183,7 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS
 {','.join(_found_sql(n, p, k) for n, p, k in (("a", ASSIGN, 0), ("c", ACCESS, 1), ("h", HEX, 2), ("d", CANDIDATE, 3)))},
 base AS (SELECT rid, s, s + length(m) AS e, k FROM a WHERE length(regexp_replace(m, '^{_QUOTED_LEAD}', '')) >= {ASSIGN_LEAST}
   UNION ALL SELECT rid, s, s + length(m), k FROM c UNION ALL SELECT rid, s, s + length(m), k FROM h),
-apart AS (SELECT rid, m, s, s + length(m) AS e, k FROM d WHERE NOT {' AND NOT '.join(f"regexp_matches(m, '{p}')" for p in ALLOW)}
+apart AS (SELECT rid, m, s, s + length(m) AS e, k FROM d WHERE NOT {' AND NOT '.join(f"regexp_matches(m, '{p}')" for p in SQL_ALLOW)}
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = d.rid AND b.s < d.s + length(d.m) AND d.s < b.e)),
 scored AS (SELECT rid, s, e, k, m, list_max(list_transform(range(1, length(m) - {WINDOW - 2}),
     lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy'))) AS bits FROM apart),

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -66,6 +68,21 @@ def test_query_equals_sql(spark, duck, folder):
     assert_same(op10_secrets(spark, folder), duck, scan.ORACLE_SQL)
 
 
+def test_keys_in_chains_and_paths(spark):
+    """Random keys are found whatever name, path or separators they have; words are not."""
+    rng = random.Random(7)
+    url = string.ascii_letters + string.digits + "-_"
+    key = lambda n, symbols=url[:-2]: "".join(rng.choice(symbols) for _ in range(n - 1)) + "7"
+    found = [f"{name}={key(n)}" for name, n in (("AWS_SECRET_ACCESS_KEY", 40), ("STRIPE_LIVE_SECRET_KEY", 32), ("DB_ROOT_USER_PASS", 24))]
+    found.append(f"com/services/T{key(8)}/B{key(8)}/{key(24)}")
+    found += [key(n, symbols) for n in (40, 64, 88, 172, 344) for symbols in (url, url[:-2] + "+/") for _ in range(20)]
+    words = ["usr/share/doc/module2/README", "my_long_name_of_a_thing_1", "a/b/c/550e8400-e29b-41d4-a716-446655440000/Items3", "-" * 20000 + "1"]
+    words += ["-".join("1" * 5000) + "-a"]
+    data = [(i, f"x {t} y", "en", "s", 1) for i, t in enumerate(found + words)]
+    got = {r["doc_id"]: r["spans"] for r in scan.scan(frame(spark, data)).collect()}
+    assert [got[i] for i in range(len(data))] == [f"entropy:2:{2 + len(t)}" for t in found] + [""] * len(words)
+
+
 def test_edges(spark):
     assert scan.scan(frame(spark, [])).count() == 0
     assert plain(scan.scan(clashing(spark))) == plain(scan.scan(frame(spark)))
