@@ -6,12 +6,14 @@ in them; taking it away again restores them. (A role's line breaks are
 escaped too.)
 
 The turns of a conversation are cut into windows whose tokens fit
-``BUDGET``: prefix sums of the turns' tokens say where the next window must
-begin, always at a turn. A window repeats the conversation's system turn and
-as many whole turns before it as fit ``HISTORY`` tokens. The loss mask holds the
-texts of the assistant turns that are new in a window; repeated ones are
-masked out, so each is learnt once. A turn that alone exceeds the budget is a
-window of its own, with no history, marked ``over_budget``.
+``BUDGET``. A turn costs what its rendered form does, marks and escapes
+included; a turn ends in a line break and the next begins with ``<``, so these
+add up to the tokens of the window's text. Prefix sums of them say where the
+next window must begin, always at a turn. A window repeats the conversation's
+system turn and as many whole turns before it as fit ``HISTORY`` tokens. The
+loss mask holds the texts of the assistant turns that are new in a window;
+repeated ones are masked out, so each is learnt once. A turn that alone exceeds
+the budget is a window of its own, with no history, marked ``over_budget``.
 
 A conversation is a stream in its order (a digest of it is sequential): rows
 are dealt by conversation, sorted, and read through with the state of one
@@ -38,7 +40,7 @@ from searchloom.llm.common import pick, scratch_path
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
-#: Tokens of the marks of a turn.
+#: Tokens of the marks of a turn where a count leaves them out and they are special tokens.
 MARKS = 4
 _WINDOWS = (
     "conv_id long, window long, text string, n_turns long, n_repeated long, n_tokens long, "
@@ -62,10 +64,10 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
+def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY, marks: int = MARKS):
     """Windows of one conversation, from an iterator of ``(role, text)``:
     ``(system and repeated turns, new turns, tokens)``; the system turn is new in
-    the first. count: tokens of a turn."""
+    the first. count: tokens of a turn; marks: those of its marks that count leaves out."""
     system: list = []
     system_cost = 0
     before: deque = deque()  # turns that may be repeated: (prefix sum before, turn)
@@ -75,7 +77,7 @@ def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
     start = 0  # prefix sum before the window's first turn, repeated ones included
     first = True
     for role, text in turns:
-        cost = count(role, text) + MARKS
+        cost = count(role, text) + marks
         if not new and not before and not system and role == "system":
             system, system_cost = [(role, text)], cost
             continue
@@ -97,15 +99,20 @@ def windows_of(turns, count, budget: int = BUDGET, history: int = HISTORY):
         yield system + repeated, new, system_cost + prefix - start
 
 
+def turn_parts(role: str, text: str) -> tuple[str, str, str]:
+    """Head, escaped text and end of a rendered turn."""
+    return f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"
+
+
 def render(repeated: list, new: list) -> tuple[str, list[int], list[int]]:
     """Text of a window and the spans of its loss mask, in code points."""
     parts, starts, ends, at = [], [], [], 0
     for i, (role, text) in enumerate([*repeated, *new]):
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body, end = turn_parts(role, text)
         if i >= len(repeated) and role == "assistant":
             starts.append(at + len(head))
             ends.append(at + len(head) + len(body))
-        parts.append(f"{head}{body}{END}\n")
+        parts.append(head + body + end)
         at += len(parts[-1])
     return "".join(parts), starts, ends
 
@@ -130,12 +137,12 @@ def _grouped(batches, names: list[str]):
 def _formatter(vocabulary: str, budget: int, history: int):
     def write(batches):
         encode = encoder(vocabulary)
-        count = lambda role, text: encode.count(role) + encode.count(text)
+        count = lambda role, text: encode.count("".join(turn_parts(role, text)))
         out: list[tuple] = []
         size = 0
         for conv, rows in _grouped(batches, ["conv_id", "role", "text"]):
             turns = ((role, text) for _, role, text in rows)
-            for number, (repeated, new, tokens) in enumerate(windows_of(turns, count, budget, history)):
+            for number, (repeated, new, tokens) in enumerate(windows_of(turns, count, budget, history, marks=0)):
                 text, starts, ends = render(repeated, new)
                 out.append(
                     (conv, number, text, len(new), len(repeated), tokens, starts, ends, tokens > budget)

@@ -56,6 +56,21 @@ def test_windows(spark):
     assert len(turns) == 39
 
 
+def test_tokens_are_those_of_the_text(spark, folder):
+    """n_tokens against the library's ids of each window's whole text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    data = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    short = [(7, i, ["user", "assistant"][i % 2], "ok |") for i in range(300)] + [(8, i, "|x", " <|a|> \n") for i in range(99)]
+    rows = chat.format_windows(data.unionByName(frame(spark, ROWS + short)), BYTE_BPE).collect()
+    for r in rows:
+        assert r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids)
+        assert r["over_budget"] == (r["n_tokens"] > chat.BUDGET)
+        assert not r["over_budget"] or len(chat.parse(r["text"])) <= 2
+    assert sum(r["conv_id"] == 7 for r in rows) > 3
+
+
 def brute_windows(costs, budget, history):
     """Greedy windows over costs by definition."""
     out, start = [], 0
