@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 6 bytes. Of them, ``TERMS`` are
-chosen by how far their shares among toxic and other examples diverge, and
-IDF is their document frequency over the whole corpus. The inverted index of
+Terms are words and word beginnings of 4 to 6 bytes: all that ``LEAST_DOCS``
+toxic examples hold and that are ``LEAST_RATIO`` times more frequent among toxic
+examples than among others. IDF is their document frequency over the whole corpus. The inverted index of
 the examples is in blocks of ``BLOCK`` examples, each with the highest weight of
 each term in it; a text's blocks are scored from the highest bound down, until
 no bound reaches the K-th best, so the nearest are exact.
@@ -39,8 +39,8 @@ from searchloom.llm.common import ALNUM_TABLE, pick, stage, word_blocks
 FOLDS = 5
 #: Examples of each label, and the longest text that is one: together they bound what the driver gathers and sends.
 MOST_EXAMPLES, MOST_EXAMPLE_BYTES = 3000, 1 << 15
-#: A term is in this many toxic examples at least (and this share of them), and so many times more often than elsewhere.
-TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 256, 5, 0.01, 3.0
+#: A term is in this many toxic examples at least, and so many times more often than elsewhere.
+LEAST_DOCS, LEAST_RATIO = 5, 3.0
 STEMS = (4, 5, 6)
 K, BLOCK, PRIOR_VOTES = 15, 64, 2.0
 
@@ -105,20 +105,19 @@ def without_near_copies(examples: list[tuple[int, bytes, int]]) -> list[tuple[in
 
 
 def choose_terms(examples: list[tuple[int, bytes, int]]) -> list[bytes]:
-    """Terms that many toxic examples hold, and far more often than the others, by divergence."""
+    """All terms that enough toxic examples hold, and far more often than the others, by divergence."""
     sizes, found = [0, 0], [Counter(), Counter()]
     for _, data, label in examples:
         sizes[label] += 1
         found[label].update({t for w in word_counts(data) for t in terms_of(w)})
     scored = []
-    least = max(LEAST_DOCS, LEAST_SHARE * sizes[1])
     for term, n in found[1].items():
-        if n < least:
+        if n < LEAST_DOCS:
             continue
         p, q = (n + 0.5) / (sizes[1] + 1), (found[0][term] + 0.5) / (sizes[0] + 1)
         if p >= LEAST_RATIO * q:
             scored.append(((p - q) * math.log(p / q), term))
-    return [t for _, t in heapq.nlargest(TERMS, scored)]
+    return [t for _, t in sorted(scored, reverse=True)]
 
 
 class BlockMaxIndex:
@@ -141,13 +140,13 @@ class BlockMaxIndex:
         self.votes = np.array([weights[r[1]] for r in rows])
         n_blocks = -(-len(rows) // BLOCK)
         self.bounds = np.zeros((len(terms), n_blocks))
-        postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(n_blocks)] for _ in terms]
+        postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in terms]
         for at, (_, _, where, values, _) in enumerate(rows):
             for t, v in zip(where.tolist(), values.tolist(), strict=True):
-                postings[t][at // BLOCK].append((at, v))
+                postings[t].setdefault(at // BLOCK, []).append((at, v))
                 self.bounds[t, at // BLOCK] = max(self.bounds[t, at // BLOCK], v)
         self.postings = [
-            [(np.array([p[0] for p in b], np.int64), np.array([p[1] for p in b])) if b else None for b in blocks]
+            {at: (np.array([p[0] for p in b], np.int64), np.array([p[1] for p in b])) for at, b in blocks.items()}
             for blocks in postings
         ]
 
@@ -167,7 +166,7 @@ class BlockMaxIndex:
                 break
             scores = np.zeros(BLOCK)
             for t, v in zip(where.tolist(), values.tolist(), strict=True):
-                part = self.postings[t][block]
+                part = self.postings[t].get(block)
                 if part is not None:
                     scores[part[0] - block * BLOCK] += v * part[1]
             for j in np.flatnonzero(scores > 0).tolist():

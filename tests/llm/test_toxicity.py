@@ -60,6 +60,17 @@ def test_terms_and_scores():
     assert built.score(b"abc rotten vileb filthyx")[0] > 0.5
 
 
+def test_no_term_is_cut():
+    """600 words that 5 of 1000 toxic examples hold, under 1 % of them."""
+    words = [f"{i:03d}w" for i in range(600)]
+    examples = [(i, " ".join([f"t{i}", *(words[j] for j in range(600) if (i - j) % 200 == 0)]).encode(), 1) for i in range(1000)]
+    examples += [(1000 + i, f"plain text {i}".encode(), 0) for i in range(1000)]
+    terms = toxicity.choose_terms(examples)
+    assert {w.encode() for w in words} <= set(terms)
+    built = toxicity.BlockMaxIndex(terms, np.ones(len(terms)), examples, [1.0, 1.0])
+    assert all(built.score(w.encode())[0] > 0.5 and len(built.score(w.encode())[1]) == 5 for w in words)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = corpus(800, 3)
     got = {r["doc_id"]: r for r in toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
