@@ -15,9 +15,10 @@ loss mask holds the texts of the assistant turns that are new in a window;
 repeated ones are masked out, so each is learnt once. A turn that alone exceeds
 the budget is a window of its own, with no history, marked ``over_budget``.
 
-A conversation is a stream in its order (a digest of it is sequential): rows
-are dealt by conversation, sorted, and read through with the state of one
-window; no conversation is ever held whole.
+Turns are measured where they are read, in any task. A conversation is a stream
+in its order (a digest of it is sequential): rows are dealt by conversation,
+sorted, and read through with the state of one window, which only adds up and
+renders; no conversation is ever held whole.
 
 Edge cases: a null text or role is empty; turns of the same number are ordered
 by role and text, null numbers first; repeated rows are turns of their own;
@@ -42,6 +43,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
 #: Tokens of the marks of a turn where a count leaves them out and they are special tokens.
 MARKS = 4
+_MEASURED = ["conv_id", "turn", "role", "text", "cost"]
+#: Turns that are measured together.
+_TURNS = 1024
 _WINDOWS = (
     "conv_id long, window long, text string, n_turns long, n_repeated long, n_tokens long, "
     "loss_starts array<long>, loss_ends array<long>, over_budget boolean"
@@ -134,19 +138,36 @@ def _grouped(batches, names: list[str]):
     return groupby(rows, key=itemgetter(0))
 
 
-def _formatter(vocabulary: str, budget: int, history: int):
-    def write(batches):
+def _measured(vocabulary: str):
+    """Adds the tokens of each rendered turn."""
+
+    def measure(batches):
         encode = encoder(vocabulary)
-        count = lambda role, text: encode.count("".join(turn_parts(role, text)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TURNS):
+                part = batch.slice(at, _TURNS)
+                said = zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)
+                costs = encode.counts(["".join(turn_parts(role, text)) for role, text in said])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(costs, pa.int64())], _MEASURED)
+
+    return measure
+
+
+def _formatter(budget: int, history: int):
+    def write(batches):
         out: list[tuple] = []
         size = 0
-        for conv, rows in _grouped(batches, ["conv_id", "role", "text"]):
-            turns = ((role, text) for _, role, text in rows)
-            for number, (repeated, new, tokens) in enumerate(windows_of(turns, count, budget, history, marks=0)):
+        for conv, rows in _grouped(batches, ["conv_id", "role", "text", "cost"]):
+            last = [0]  # tokens of the turn that was drawn last
+
+            def turns(rows=rows, last=last):
+                for _, role, text, last[0] in rows:
+                    yield role, text
+
+            count = lambda role, text, last=last: last[0]
+            for number, (repeated, new, tokens) in enumerate(windows_of(turns(), count, budget, history, marks=0)):
                 text, starts, ends = render(repeated, new)
-                out.append(
-                    (conv, number, text, len(new), len(repeated), tokens, starts, ends, tokens > budget)
-                )
+                out.append((conv, number, text, len(new), len(repeated), tokens, starts, ends, tokens > budget))
                 size += len(text)
                 if size > 4 << 20:
                     yield _batch(out)
@@ -167,10 +188,12 @@ def format_windows(
     conversations: DataFrame, vocabulary: str, budget: int = BUDGET, history: int = HISTORY
 ) -> DataFrame:
     """The windows of every conversation (``conv_id, turn, role, text``)."""
-    rows = pick(conversations, "conv_id", "turn", "role", "text")
+    rows = pick(conversations, "conv_id", "turn", "role", "text").withColumn("conv_id", F.col("conv_id").cast("long"))
     rows = rows.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    kinds = ["conv_id long", f"turn {rows.schema['turn'].dataType.simpleString()}", "role string", "text string", "cost long"]
+    rows = rows.mapInArrow(_measured(vocabulary), ", ".join(kinds))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_formatter(vocabulary, budget, history), _WINDOWS)
+    return rows.select("conv_id", "role", "text", "cost").mapInArrow(_formatter(budget, history), _WINDOWS)
 
 
 def _digests(batches):

@@ -33,7 +33,7 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = mixed(keys)
-    buckets = (mixed(keys, 1) % np.uint64(-(-n // _LOAD))).astype(np.int64)
+    buckets = buckets_of(keys, -(-n // _LOAD))
     order = np.argsort(buckets, kind="stable")
     sizes = np.bincount(buckets, minlength=-(-n // _LOAD))
     ends = np.cumsum(sizes)
@@ -65,12 +65,20 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pilots, slots
 
 
+def buckets_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mixed(keys, 1) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def slots_of(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each of ``n`` keys by the pilot of its bucket."""
+    return np.where(pilots < 0, -1 - pilots, _slots(mixed(keys), np.maximum(pilots, 0), n))
+
+
 def lookup(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     """The slot where each key would be; any slot for a key that isn't there."""
     if not n:
         return np.zeros(len(keys), np.int64)
-    pilot = pilots[(mixed(keys, 1) % np.uint64(len(pilots))).astype(np.int64)]
-    return np.where(pilot < 0, -1 - pilot, _slots(mixed(keys), np.maximum(pilot, 0), n))
+    return slots_of(keys, pilots[buckets_of(keys, len(pilots))], n)
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:

@@ -1,33 +1,41 @@
 """Token-id files: raw ids by shard, with a minimal perfect hash index.
 
-A folder holds, for each shard ``s`` (a range of keys, in ascending order),
-``shard-s.ids``, nothing but little-endian ids, and ``shard-s.idx``:
-
-====================  =========================================================
-line 1                JSON: version, dtype, rows, keys, nulls, tokens, buckets
-``int64[rows]``       key of each row, ascending (null keys first, as 0)
-``int64[rows + 1]``   id offset of each row, and the end
-``int64[buckets]``    pilots of the hash
-``uint32[keys]``      fingerprint of the key in each slot
-``int64[keys]``       first row of the key in each slot
-====================  =========================================================
-
-and ``manifest.json``: rows and ids of every shard, so that a shard's first id
-has a global place. A key's rows are found by one pilot, one slot, and its
-fingerprint. A shard is written under a name of the attempt and then renamed,
-so a lost or repeated task does no harm.
+A folder holds shards, each a range of keys in ascending order: for the shard
+``name``, ``name.ids`` is nothing but little-endian ids, and ``name.idx`` is
+
+======================  =======================================================
+first ``HEAD`` bytes    JSON, padded: version, dtype, rows, keys, nulls, tokens, buckets
+``int64[rows]``         key of each row, ascending (null keys first, as 0)
+``int64[rows + 1]``     id offset of each row, and the end
+``int64[buckets]``      pilots of the hash
+``uint32[keys]``        fingerprint of the key in each slot
+``int64[keys, 2]``      first row of the key in each slot, and number of its rows
+======================  =======================================================
+
+and ``manifest.json`` lists the shards in order with their lowest and highest
+key, so that a shard's first id has a global place. A key is found by bisection
+of the manifest, then by reads at known places: one pilot, one slot's
+fingerprint, its row and the exact key there (a fingerprint alone may mislead),
+the offsets, the ids. A task begins another shard after ``SHARD_BYTES`` of ids
+or ``SHARD_ROWS`` rows, so shards don't grow with the corpus, and rows of one
+key may go on in the next shard. A shard is written under a name of the attempt
+and then renamed, so a lost or repeated task does no harm.
 
 Edge cases: a null or empty text is the end id alone; rows that share a key
-follow each other (ordered by a hash of the text) and a lookup gives them all,
-even over shards; null keys come first and aren't looked up; an empty table
-gives a manifest of no shards; other columns are ignored.
+follow each other (ordered by a hash of the text; repeated rows are
+interchangeable) and a lookup gives them all, even over shards; null keys come
+first and aren't looked up; an empty table gives a manifest of no shards; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +49,13 @@ from searchloom.llm.bpe import encoder
 from searchloom.llm.common import pick, scratch_path, shuffle_partitions
 
 END_ID = 2
-#: Texts that are encoded together.
-_TEXTS = 64
-VERSION = 1
+#: A shard's most bytes of ids and rows (a single longer text is a shard of its own).
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
+HEAD = 256
+#: Texts that are encoded together, bytes of ids that a reader takes at once, and its rows a batch.
+_TEXTS, _READ, _ROWS = 1024, 8 << 20, 1 << 14
+VERSION = 2
+_SHARDS = "task long, part long, n_rows long, tokens long, low long, high long"
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -53,119 +65,155 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
+def _name(task: int, part: int) -> str:
+    return f"shard-{task:05d}-{part:04d}"
+
+
 class ShardWriter:
-    def __init__(self, folder: str, shard: int, dtype: np.dtype):
-        self.fs, self.base = _open(folder)
-        self.fs.create_dir(self.base, recursive=True)
-        self.name, self.dtype = f"{self.base}/shard-{shard:05d}", dtype
+    def __init__(self, folder: str, name: str, dtype: np.dtype):
+        self.fs, base = _open(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.name, self.dtype = f"{base}/{name}", dtype
         self.attempt = f"{self.name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(f"{self.attempt}.ids")
-        self.keys: list[int | None] = []
-        self.sizes: list[int] = []
+        self.keys, self.sizes, self.nulls, self.bytes = array("q"), array("q"), 0, 0
 
     def add(self, key: int | None, raw: bytes) -> None:
         self.out.write(raw)
-        self.keys.append(key)
+        self.keys.append(0 if key is None else key)
         self.sizes.append(len(raw) // self.dtype.itemsize)
+        self.nulls += key is None
+        self.bytes += len(raw)
 
-    def close(self) -> tuple[int, int]:
+    def full(self, more: int, most_bytes: int, most_rows: int) -> bool:
+        return len(self.keys) > 0 and (self.bytes + more > most_bytes or len(self.keys) >= most_rows)
+
+    def close(self) -> dict:
         self.out.close()
-        nulls = sum(k is None for k in self.keys)
-        keys = np.array([0 if k is None else k for k in self.keys], np.int64)
+        keys, nulls = np.array(self.keys, np.int64), self.nulls
         offsets = np.concatenate(([0], np.cumsum(np.array(self.sizes, np.int64)))).astype(np.int64)
-        distinct, first = np.unique(keys[nulls:], return_index=True)
+        distinct, first, counts = np.unique(keys[nulls:], return_index=True, return_counts=True)
         pilots, slots = perfect_hash.build(distinct)
-        prints, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
-        prints[slots], rows[slots] = perfect_hash.fingerprints(distinct), first + nulls
+        prints, rows = np.zeros(len(distinct), np.uint32), np.zeros((len(distinct), 2), np.int64)
+        prints[slots] = perfect_hash.fingerprints(distinct)
+        rows[slots, 0], rows[slots, 1] = first + nulls, counts
         head = {
             "version": VERSION, "dtype": self.dtype.str, "rows": len(keys), "keys": len(distinct), "nulls": nulls,
             "tokens": int(offsets[-1]), "buckets": len(pilots),
         }
         with self.fs.open_output_stream(f"{self.attempt}.idx") as out:
-            out.write(json.dumps(head).encode() + b"\n")
+            out.write(json.dumps(head).encode().ljust(HEAD - 1) + b"\n")
             for part in (keys, offsets, pilots, prints, rows):
                 out.write(part.tobytes())
         for kind in ("ids", "idx"):
             self.fs.move(f"{self.attempt}.{kind}", f"{self.name}.{kind}")
-        return len(keys), int(offsets[-1])
+        low, high = (None if i < nulls else int(keys[i]) for i in (0, len(keys) - 1))
+        return {"n_rows": len(keys), "tokens": int(offsets[-1]), "low": low, "high": high}
 
 
 class ShardReader:
-    def __init__(self, folder: str, shard: int):
-        self.fs, base = _open(folder)
-        with self.fs.open_input_stream(f"{base}/shard-{shard:05d}.idx") as stream:
-            data = stream.read()
-        end = data.index(b"\n")
-        self.head = json.loads(data[:end])
-        at, parts = end + 1, []
-        h = self.head
-        for dtype, n in (("i8", h["rows"]), ("i8", h["rows"] + 1), ("i8", h["buckets"]), ("u4", h["keys"]), ("i8", h["keys"])):
-            parts.append(np.frombuffer(data, f"<{dtype}", n, at))
-            at += parts[-1].nbytes
-        self.keys, self.offsets, self.pilots, self.prints, self.rows = parts
-        self.dtype = np.dtype(h["dtype"])
-        self.payload = self.fs.open_input_file(f"{base}/shard-{shard:05d}.ids")
+    """Reads parts of a shard's files at their places; nothing is loaded whole."""
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; 0 rows where it is absent."""
-        keys = np.asarray(keys, np.int64)
+    def __init__(self, folder: str, name: str):
+        fs, base = _open(folder)
+        self.index, self.payload = fs.open_input_file(f"{base}/{name}.idx"), fs.open_input_file(f"{base}/{name}.ids")
+        self.head = h = json.loads(self.index.read_at(HEAD, 0))
+        self.dtype = np.dtype(h["dtype"])
+        self.places, at = {}, HEAD
+        for part, dtype, n in (
+            ("keys", "<i8", h["rows"]), ("offsets", "<i8", h["rows"] + 1), ("pilots", "<i8", h["buckets"]),
+            ("prints", "<u4", h["keys"]), ("rows", "<i8", 2 * h["keys"]),
+        ):
+            self.places[part] = at, np.dtype(dtype)
+            at += n * np.dtype(dtype).itemsize
+
+    def part(self, name: str, first: int, n: int) -> np.ndarray:
+        at, dtype = self.places[name]
+        return np.frombuffer(self.index.read_at(n * dtype.itemsize, at + first * dtype.itemsize), dtype)
+
+    def find(self, key: int) -> tuple[int, int]:
+        """First row and number of rows of a key; no rows where it is absent."""
         if not self.head["keys"]:
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        slots = perfect_hash.lookup(keys, self.pilots, self.head["keys"])
-        there = self.prints[slots] == perfect_hash.fingerprints(keys)
-        first = self.rows[slots]
-        own = self.keys[self.head["nulls"] :]
-        last = np.searchsorted(own, self.keys[first], "right") + self.head["nulls"]
-        return first, np.where(there, last - first, 0)
-
-    def ids(self, row: int) -> np.ndarray:
-        start, end = int(self.offsets[row]), int(self.offsets[row + 1])
+            return 0, 0
+        keys = np.array([key], np.int64)
+        pilot = self.part("pilots", int(perfect_hash.buckets_of(keys, self.head["buckets"])[0]), 1)
+        slot = int(perfect_hash.slots_of(keys, pilot, self.head["keys"])[0])
+        if self.part("prints", slot, 1)[0] != perfect_hash.fingerprints(keys)[0]:
+            return 0, 0
+        first, n = self.part("rows", 2 * slot, 2).tolist()
+        return (first, n) if self.part("keys", first, 1)[0] == key else (0, 0)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
         size = self.dtype.itemsize
         return np.frombuffer(self.payload.read_at((end - start) * size, start * size), self.dtype)
 
     def get(self, key: int) -> list[np.ndarray]:
-        first, n = self.find(np.array([key]))
-        return [self.ids(r) for r in range(int(first[0]), int(first[0] + n[0]))]
-
-
-def _shard_writer(folder: str, vocabulary: str, end_id: int):
+        first, n = self.find(key)
+        offsets = self.part("offsets", first, n + 1).tolist()
+        return [self.ids(a, b) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Key, id offset and ids of every row, in order: the slots of the hash say
+        which rows a key has, and these must be all rows, once."""
+        n, nulls = self.head["rows"], self.head["nulls"]
+        keys = self.part("keys", 0, n)
+        distinct = np.unique(keys[nulls:])
+        slots = perfect_hash.lookup(distinct, self.part("pilots", 0, self.head["buckets"]), self.head["keys"])
+        rows = self.part("rows", 0, 2 * self.head["keys"]).reshape(-1, 2)[slots]
+        same = np.array_equal(self.part("prints", 0, self.head["keys"])[slots], perfect_hash.fingerprints(distinct))
+        if not same or not np.array_equal(keys[rows[:, 0]], distinct) or nulls + rows[:, 1].sum() != n:
+            raise ValueError("the index does not fit its shard")
+        offsets = self.part("offsets", 0, n + 1)
+        row = 0
+        while row < n:
+            limit = offsets[row] + _READ // self.dtype.itemsize
+            last = max(row + 1, int(np.searchsorted(offsets, limit, "right")) - 1)
+            places = offsets[row : last + 1].tolist()
+            ids, base = self.ids(places[0], places[-1]), places[0]
+            for i, key, a, b in zip(range(row, last), keys[row:last].tolist(), places, places[1:], strict=False):
+                yield None if i < nulls else key, a, ids[a - base : b - base]
+            row = last
+
+
+def _shard_writer(folder: str, vocabulary: str, end_id: int, most_bytes: int, most_rows: int):
     def write(batches):
-        shard = TaskContext.get().partitionId()
+        task, part = TaskContext.get().partitionId(), 0
         encode = encoder(vocabulary)
         end = np.array([end_id], encode.dtype).tobytes()
+        kind = pa.schema([(n.split()[0], pa.int64()) for n in _SHARDS.split(", ")])
         writer = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            writer = writer or ShardWriter(folder, shard, encode.dtype)
             for at in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(at, _TEXTS)
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                for key, raw in zip(part.column(0).to_pylist(), encode.raw_many(texts), strict=True):
+                rows = batch.slice(at, _TEXTS)
+                texts = [text or "" for text in rows.column(1).to_pylist()]
+                for key, raw in zip(rows.column(0).to_pylist(), encode.raw_many(texts), strict=True):
+                    if writer and writer.full(len(raw) + len(end), most_bytes, most_rows):
+                        yield pa.RecordBatch.from_pylist([{"task": task, "part": part} | writer.close()], kind)
+                        writer, part = None, part + 1
+                    writer = writer or ShardWriter(folder, _name(task, part), encode.dtype)
                     writer.add(key, raw + end)
         if writer:
-            low, high = writer.keys[0], writer.keys[-1]
-            rows, tokens = writer.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "n_rows": rows, "tokens": tokens, "low": low, "high": high}],
-                pa.schema([(n, pa.int64()) for n in ("shard", "n_rows", "tokens", "low", "high")]),
-            )
+            yield pa.RecordBatch.from_pylist([{"task": task, "part": part} | writer.close()], kind)
 
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> list[dict]:
+def write_token_files(
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, most_bytes: int = SHARD_BYTES, most_rows: int = SHARD_ROWS
+) -> list[dict]:
     """Writes the shards of ``docs`` (``doc_id``, ``text``) in ascending order of
     id and returns the manifest: one entry a shard, in order."""
     spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text").withColumn("_tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    written = rows.select("doc_id", "text").mapInArrow(
-        _shard_writer(folder, vocabulary, end_id), "shard long, n_rows long, tokens long, low long, high long"
-    )
+    # The place in the input is the last part of the order: it parts rows that repeat, however many.
+    rows = pick(docs, "doc_id", "text").withColumn("_tie", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
+    order = ("doc_id", "_tie", "_at")
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    write = _shard_writer(folder, vocabulary, end_id, most_bytes, most_rows)
+    written = rows.select("doc_id", "text").mapInArrow(write, _SHARDS)
     manifest, start = [], 0
-    for row in sorted(written.collect(), key=lambda r: r["shard"]):
-        manifest.append(row.asDict() | {"start": start})
+    for row in sorted(written.collect(), key=lambda r: (r["task"], r["part"])):  # one row a shard
+        entry = {"shard": _name(row["task"], row["part"]), "start": start}
+        manifest.append(entry | {n: row[n] for n in ("n_rows", "tokens", "low", "high")})
         start += row["tokens"]
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
@@ -180,35 +228,49 @@ def read_manifest(folder: str) -> list[dict]:
         return json.loads(stream.read())["shards"]
 
 
+class TokenFiles:
+    """Keyed access to a folder of shards."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.shards = [s for s in read_manifest(folder) if s["high"] is not None]
+        self.highs = [s["high"] for s in self.shards]
+        self.readers: dict[str, ShardReader] = {}
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """Ids of every document of a key."""
+        found = []
+        for entry in self.shards[bisect.bisect_left(self.highs, key) :]:
+            if entry["low"] is not None and entry["low"] > key:
+                break
+            name = entry["shard"]
+            if name not in self.readers:
+                self.readers[name] = ShardReader(self.folder, name)
+            found += self.readers[name].get(key)
+        return found
+
+
 def fetch(folder: str, key: int) -> list[np.ndarray]:
-    """Ids of every document of a key, by the index of the shards whose range holds it."""
-    found = []
-    for entry in read_manifest(folder):
-        if entry["high"] is not None and (entry["low"] is None or entry["low"] <= key) and key <= entry["high"]:
-            found += ShardReader(folder, entry["shard"]).get(key)
-    return found
+    return TokenFiles(folder).get(key)
 
 
-def _shard_reader(folder: str, starts: dict[int, int]):
+_NAMES = ("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _shard_reader(folder: str):
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], _NAMES)
+
     def read(batches):
-        for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                reader, out = ShardReader(folder, shard), []
-                nulls = reader.head["nulls"]
-                first, n = reader.find(np.unique(reader.keys[nulls:]))
-                rows = [*range(nulls), *(r for a, k in zip(first.tolist(), n.tolist(), strict=True) for r in range(a, a + k))]
-                for row in rows:
-                    ids = reader.ids(row)
-                    out.append(
-                        (
-                            None if row < nulls else int(reader.keys[row]),
-                            starts[shard] + int(reader.offsets[row]),
-                            len(ids),
-                            zlib.crc32(ids.astype("<u4").tobytes()),
-                        )
-                    )
-                names = ("doc_id", "start", "n_tokens", "ids_crc32")
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+        out: list[tuple] = []
+        for shards in batches:
+            for shard, start in zip(shards.column(0).to_pylist(), shards.column(1).to_pylist(), strict=True):
+                for key, at, ids in ShardReader(folder, shard).documents():
+                    out.append((key, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(out) == _ROWS:
+                        yield batch(out)
+                        out = []
+        yield batch(out)
 
     return read
 
@@ -220,8 +282,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     shards = read_manifest(folder)
     if not shards:
         return spark.createDataFrame([], schema)
-    numbers = spark.createDataFrame([(s["shard"],) for s in shards], "shard long").repartition(len(shards))
-    return numbers.mapInArrow(_shard_reader(folder, {s["shard"]: s["start"] for s in shards}), schema)
+    places = spark.createDataFrame([(s["shard"], s["start"]) for s in shards], "shard string, start long")
+    return places.repartition(len(shards)).mapInArrow(_shard_reader(folder), schema)
 
 
 def report(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:

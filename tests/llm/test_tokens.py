@@ -82,6 +82,63 @@ def test_files_round_trip(spark, tmp_path):
     assert sum(s["n_rows"] for s in manifest["shards"]) == len(rows())
 
 
+def test_shards_are_cut_and_keys_go_on(spark, tmp_path):
+    folder = str(tmp_path / "cut")
+    data = [(7, "the same words again", None, None, 0)] * 400 + [(i, f"text {i}", None, None, 0) for i in range(20)]
+    manifest = token_files.write_token_files(frame(spark, data), folder, BYTE_BPE, most_bytes=500, most_rows=30)
+    assert len(manifest) > 12 and max(s["n_rows"] for s in manifest) <= 30
+    files = token_files.TokenFiles(folder)
+    assert len(files.get(7)) == 401 and {len(x) for x in files.get(7)} == {5, 4}
+    assert [x.tolist() for x in files.get(12)] == [[*library_ids("text 12"), 2]]
+    assert files.get(-1) == files.get(20) == []
+    got = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    at = 0
+    for row in got:
+        assert row["start"] == at
+        at += row["n_tokens"]
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in data) == [r["doc_id"] for r in got]
+
+
+def test_a_colliding_absent_key_is_absent(tmp_path, monkeypatch):
+    monkeypatch.setattr(perfect_hash, "fingerprints", lambda keys: np.full(len(keys), 9, np.uint32))
+    writer = token_files.ShardWriter(str(tmp_path), "shard-x", np.dtype("<u2"))
+    for key in (None, 3, 3, 8):
+        writer.add(key, bytes([key or 0, 0]))
+    assert writer.close() == {"n_rows": 4, "tokens": 4, "low": None, "high": 8}
+    reader = token_files.ShardReader(str(tmp_path), "shard-x")
+    assert [reader.find(k)[1] for k in (3, 8, 4, 5, 0)] == [2, 1, 0, 0, 0]
+    assert [x.tolist() for x in reader.get(3)] == [[3], [3]]
+
+
+def test_encoder_across_generations(monkeypatch):
+    monkeypatch.setattr("searchloom.llm.bpe._GENERATION", 40)
+    monkeypatch.setattr("searchloom.llm.bpe._LONG_GENERATION", 3)
+    own, texts = Encoder(BYTE_BPE), ODD + [r[1] or "" for r in rows()]
+    for _ in range(3):
+        for text in texts:
+            assert np.frombuffer(own.raw(text), own.dtype).tolist() == library_ids(text), text[:40]
+    assert own.older is not None
+
+
+@pytest.mark.parametrize("name", ["op6_token_files", "op9_token_counts"])
+def test_registered_queries_on_documents(spark, folder, name):
+    import sentencepiece
+
+    from searchloom.llm.queries import queries
+
+    data = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries()[name](spark, folder)
+    if name == "op6_token_files":
+        want, total = expected(data)
+        assert plain(got.select("doc_id", "n_tokens", "ids_crc32")) == sorted(((i, n, c) for i, _, n, c in want), key=repr)
+        last = max(got.collect(), key=lambda r: r["start"])
+        assert last["start"] + last["n_tokens"] == total
+    else:
+        library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+        counts = [(i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in data]
+        assert plain(got) == sorted(((i, b, n, n > 4096) for i, b, n in counts), key=repr)
+
+
 def test_token_files_edges(spark):
     assert token_files.report(frame(spark, []), BYTE_BPE).count() == 0
     assert plain(token_files.report(clashing(spark), BYTE_BPE)) == plain(token_files.report(frame(spark), BYTE_BPE))
