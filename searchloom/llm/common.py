@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: The six white space characters of the word rule ``[^\x20\x09-\x0D]+``; they are also those of ``bytes.split()``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -91,5 +92,22 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+def running_totals(rows: DataFrame, order: list, value: str, name: str, by: str | None = None) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to and with each row in an order, or
+    within each ``by`` of it (which then comes first in the order, without
+    nulls). A range sort deals the rows, so no task holds more than its share;
+    the sorted rows are a written table, and what goes between its parts is one
+    sum a part (and ``by``)."""
+    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    placed = stage(placed.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    keys = ["_part", by] if by else ["_part"]
+    sums = placed.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    across = (W.partitionBy(by) if by else W).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    totals = placed.withColumn("_inside", F.sum(value).over(inside)).join(sums, keys)
+    return totals.withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_place", "_before", "_inside")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

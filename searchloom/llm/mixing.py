@@ -3,18 +3,20 @@
 Documents of a source stand in the order of the MD5 of their id. A copy's
 virtual finish time is the words of its source up to its end, divided by the
 source's target; a second round of the source follows the first. All copies
-are ordered by finish time over all sources and taken while their words fit
-the total budget. Everything that ends by time 1 fits by construction, so only
-the few copies beyond it are put in that order to find where the budget ends.
+are range-sorted by finish time over all sources, and the queue is cut where
+their running words reach the total budget.
 
-Running sums are in two levels (a source's documents are dealt by the first
-bits of the MD5, so that a source of a third of all rows is many small
-groups); their result doesn't depend on how many bits are used.
+Both orders (of a source's documents, of the copies) are range sorts of narrow
+rows whose parts get running sums, so a hot source, or an id that many rows
+share or lack, is many parts. Texts are read to count words and, for the mixed
+documents, moved once to their copies and once to their place in the queue.
 
 Edge cases: a null text has size 0 and is taken at no cost; null sources are
-one source, the last; sources without words have target 0; a null id is
-ordered as an empty one; rows that share an id are ordered by size; repeated
-rows are interchangeable; an empty table gives an empty result.
+one source, the last; sources without words have target 0 and are not taken; a
+null id is ordered as an empty one; rows that share an id are ordered by size
+and a hash of the text; rows of the same id, text and source repeat each other,
+and of them the mix holds as many copies as the queue takes, wherever they
+stand; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from searchloom.llm.common import pick, shuffle_partitions, stage, word_count
+from searchloom.llm.common import numbered, pick, running_totals, shuffle_partitions, stage, word_count
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix holds, in percent, and the most often that a source may be taken.
 PERCENT, MOST = 150, 2
-_GROUP_ROWS = 1024
-_MAX_BITS = 20
+#: Copies of a repeated row that one row gives at once.
+_RUN = 4096
 
 
 def _same(a: str, b: str) -> Column:
@@ -64,88 +66,80 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "rank", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+def _place(i: int) -> Column:
+    """Where the copy of round ``i`` stands in the queue."""
+    end = F.col("_end") + i * F.col("source_size")
+    time = F.try_divide(end.cast("double"), F.col("target"))
+    return F.struct(time.alias("t"), F.col("rank").alias("r"), end.cast("long").alias("e"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, source_size, target, copies`` and the finish times of the
+    copies taken, a row for each of ``docs`` (with ``doc_id, text, source``), and
+    ``row``, a hash of these three columns."""
+    sized = pick(docs, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    group = F.shiftright(F.conv(F.substring(key, 1, 5), 16, 10).cast("int"), 20 - bits)
-    return rows.withColumn("_key", key).withColumn("_group", group)
-
-
-def mix(docs: DataFrame, carry: bool = True) -> DataFrame:
-    """``docs`` (with ``doc_id, text, source``) with ``size, source_size,
-    target, copies`` and the finish times of the copies taken. carry: keep the
-    columns of ``docs``; else the text is read once only."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    narrow = stage(sized.select("doc_id", "source", "size"), "sizes")
-    n = narrow.count()
-    bits = min(_MAX_BITS, max(0, math.ceil(math.log2(max(1, n / _GROUP_ROWS)))))
-    sums = _grouped(narrow, bits).groupBy("source", "_group").agg(F.sum("size").alias("_sum"))
-    sums = stage(sums, "group-sums")
-    shares = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    order = W.partitionBy("source").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0))).drop("_sum")
-    sums = sums.withColumnRenamed("source", "_source")
-    sums = sums.join(shares.withColumnRenamed("source", "_s"), _same("_source", "_s")).drop("_s")
-    sums = stage(sums.withColumnRenamed("_group", "_g"), "group-starts")
-
-    def queued(rows: DataFrame) -> DataFrame:
-        """Rows with the words of their source up to their end, and finish times."""
-        rows = _grouped(rows, bits)
-        rows = rows.join(sums, _same("source", "_source") & _same("_group", "_g")).drop("_source", "_g")
-        within = W.partitionBy("source", "_group").orderBy("_key", "doc_id", "size")
-        rows = rows.withColumn(
-            "_end", F.col("_before") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0))
-        )
-        for i in range(MOST):
-            rows = rows.withColumn(f"_end{i}", F.col("_end") + i * F.col("source_size"))
-            rows = rows.withColumn(f"_time{i}", F.try_divide(F.col(f"_end{i}").cast("double"), "target"))
-        return rows
-
-    rows = queued(narrow)
-    in_time = sum((F.when(F.col(f"_time{i}") <= 1, F.col("size")).otherwise(0) for i in range(MOST)), F.lit(0))
-    budget = narrow.agg(F.sum("size")).first()[0] or 0
-    left = math.floor(budget * (PERCENT / 100)) - (rows.agg(F.sum(in_time)).first()[0] or 0)
-    # Copies beyond time 1 that can still fit: no more words of a source than are left in all.
-    copies = F.explode(F.array(*[F.struct(F.col(f"_time{i}").alias("t"), F.col(f"_end{i}").alias("e")) for i in range(MOST)]))
-    late = rows.where("size > 0").select("rank", "size", "target", copies.alias("c"))
-    late = late.where((F.col("c.t") > 1) & (F.col("c.e") - F.col("target") <= left))
-    place = F.struct(F.col("c.t").alias("t"), F.col("rank").alias("r"), F.col("c.e").alias("e"))
-    late = late.select("size", place.alias("place"))
-    running = F.sum("size").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    last = late.select("place", running.alias("words")).where(F.col("words") <= left).agg(F.max("place")).first()[0]
-
-    out = queued(sized if carry else narrow)
+    row = F.xxhash64("doc_id", "source", "text")
+    sized = sized.select("doc_id", "source", "size", key.alias("_key"), row.alias("row"))
+    sized = stage(sized.withColumn("_at", F.monotonically_increasing_id()), "sizes")
+    shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    shares = stage(shares.withColumnRenamed("source", "_source"), "targets")
+    rows = sized.join(shares, _same("source", "_source")).drop("_source")
+    rows = running_totals(rows, ["rank", "_key", "doc_id", "size", "row", "_at"], "size", "_end", by="rank")
+    rows = stage(rows.drop("_key", "_at"), "queued")
+
+    budget = math.floor((shares.agg(F.sum("source_size")).first()[0] or 0) * (PERCENT / 100))
+    copies = rows.where("size > 0").select("size", F.explode(F.array(*[_place(i) for i in range(MOST)])).alias("place"))
+    queue = running_totals(copies, ["place"], "size", "words")
+    last = queue.where(F.col("words") <= budget).agg(F.max("place")).first()[0]
+
     taken = F.lit(0)
-    for i in range(MOST):
-        fits = F.col(f"_time{i}") <= 1
-        if last is not None:
-            place = F.struct(F.col(f"_time{i}").alias("t"), F.col("rank").alias("r"), F.col(f"_end{i}").alias("e"))
-            end = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["r"]).alias("r"), F.lit(last["e"]).alias("e"))
-            fits = fits | (place <= end)
-        taken = taken + F.coalesce(fits, F.lit(False)).cast("int")
-    times = F.slice(F.array(*[F.col(f"_time{i}") for i in range(MOST)]), F.lit(1), taken)
-    names = docs.columns if carry else ["doc_id", "source"]
-    return out.select(*names, "size", "source_size", "target", taken.alias("copies"), times.alias("finish_times"))
+    if last is not None:
+        end = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["r"]).alias("r"), F.lit(last["e"]).alias("e"))
+        for i in range(MOST):
+            fits = _place(i)["t"].isNotNull() & (_place(i) <= end)
+            taken = taken + F.coalesce(fits, F.lit(False)).cast("int")
+    times = F.slice(F.array(*[_place(i)["t"] for i in range(MOST)]), F.lit(1), taken)
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("copies"), times.alias("finish_times"), "row")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Words that the mix takes of each document."""
-    mixed = mix(pick(docs, "doc_id", "text", "source"), carry=False)
     taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    return mixed.select("doc_id", "size", "source_size", "target", taken)
+    return mix(docs).select("doc_id", "size", "source_size", "target", taken)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mixed documents: a row of ``docs`` for each copy that is taken."""
-    mixed = mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-
-
-def ordered_mixture(docs: DataFrame) -> DataFrame:
-    """The mixed documents in the order in which the queue serves them: copies
-    range-sorted by finish time, so that any stretch has about the target mix."""
-    mixed = mix(docs).withColumn("_time", F.explode("finish_times"))
-    ordered = mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), "_time").sortWithinPartitions("_time")
-    return ordered.select(*docs.columns)
+    """The mixed documents in the order in which the queue serves them: a row of
+    ``docs`` for each copy that is taken, range-sorted by finish time, so that
+    any stretch has about the target mix."""
+    found = mix(docs)
+    repeats = found.groupBy("doc_id", "row").agg(
+        F.count("*").alias("_n"),
+        F.sum("copies").alias("_copies"),
+        *[F.min(F.get("finish_times", F.lit(i))).alias(f"_time{i}") for i in range(MOST)],
+    )
+    repeats = stage(repeats.where("_copies > 0").withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "copies")
+    flat = numbered(docs)
+    at = {name: F.col(f"_{docs.columns.index(name)}") for name in ("doc_id", "source", "text")}
+    rows = flat.withColumn("_hash", F.xxhash64(at["doc_id"], at["source"], at["text"]))
+    met = at["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row"))
+    times = [F.coalesce(F.col(f"_time{i}"), F.col("_time0")) for i in range(MOST)]
+    each = F.floor(F.col("_copies") / F.col("_n")).cast("int")  # MOST at most
+    mixed = rows.join(repeats, met).withColumn("_time", F.explode(F.slice(F.array(*times), F.lit(1), each)))
+    mixed = mixed.select(*flat.columns, "_time")
+    # Of rows that repeat, the queue may take some once more: where it ends inside them, at most once a source and round.
+    uneven = repeats.where("_copies % _n > 0")
+    if not uneven.isEmpty():
+        one = rows.join(uneven, met).groupBy("_id", "_row")
+        one = one.agg(F.first(F.struct(*flat.columns)).alias("_doc"), F.first(F.col("_copies") % F.col("_n")).alias("_more"), F.first("_time0").alias("_time"))
+        runs = F.explode(F.sequence(F.lit(0), F.col("_more") - 1, F.lit(_RUN)))
+        one = one.withColumn("_run", runs).repartition(shuffle_partitions(docs.sparkSession))
+        one = one.withColumn("_copy", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + _RUN, F.col("_more")) - 1)))
+        mixed = mixed.unionByName(one.select(*[F.col(f"_doc.{c}").alias(c) for c in flat.columns], "_time"))
+    mixed = mixed.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), "_time", "_tie")
+    return ordered.sortWithinPartitions("_time", "_tie").select(*flat.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = f"""

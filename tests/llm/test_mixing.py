@@ -57,12 +57,21 @@ def test_mix_is_brute_force(spark):
     assert rounded(mixing.report(frame(spark))) == brute(rows())
 
 
-@pytest.mark.parametrize("group_rows", [1, 5])
-def test_groups_change_nothing(spark, monkeypatch, group_rows):
-    monkeypatch.setattr(mixing, "_GROUP_ROWS", group_rows)
+def test_partitions_change_nothing(spark):
     assert rounded(mixing.report(frame(spark).repartition(7))) == brute(rows())
 
 
+def test_a_hot_id_and_repeats(spark, monkeypatch):
+    """Rows without an id, and most rows the same one: the queue ends inside these."""
+    monkeypatch.setattr(mixing, "_RUN", 7)
+    data = [(None, t, "en", "a", 1) for t in texts(n=60)] + [(5, "one two three", "en", "b", 1)] * 4000 + [(i, t, "en", "c", 1) for i, t in enumerate(texts(n=40))]
+    want = brute(data)
+    assert rounded(mixing.report(frame(spark, data).repartition(9))) == want
+    got = sorted((r[0], len((r[1] or "").split())) for r in map(tuple, mixing.mixture(frame(spark, data)).collect()) if r[0] is not None)
+    assert got == sorted((r[0], r[1]) for r in want if r[0] is not None for _ in range(r[4] // max(1, r[1])))
+    assert len({r[4] for r in want if r[0] == 5 and r[1] == 3}) == 2
+
+
 def test_targets_are_met(spark):
     data = [(i, t, "en", f"s{min(i % 9, 4)}", 1) for i, t in enumerate(texts(n=400))]
     got = mixing.report(frame(spark, data).withColumnRenamed("none", "none")).collect()
@@ -80,11 +89,10 @@ def test_mixture_repeats_rows(spark):
     assert words == sum(r[4] for r in brute(rows()))
 
 
-def test_ordered_mixture_is_even(spark):
+def test_mixture_is_even(spark):
+    """Any half of the queue has about the target mix."""
     data = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts(n=300))]
-    want = sorted(map(tuple, mixing.mixture(frame(spark, data)).collect()))
-    got = list(map(tuple, mixing.ordered_mixture(frame(spark, data)).collect()))
-    assert sorted(got) == want
+    got = list(map(tuple, mixing.mixture(frame(spark, data)).collect()))
     words = lambda rows, s: sum(len(r[1].split()) for r in rows if r[3] == s)
     half = got[: len(got) // 2]
     for s in ("s0", "s1", "s2"):
