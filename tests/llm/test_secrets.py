@@ -83,6 +83,20 @@ def test_keys_in_chains_and_paths(spark):
     assert [got[i] for i in range(len(data))] == [f"entropy:2:{2 + len(t)}" for t in found] + [""] * len(words)
 
 
+def test_long_candidates_and_many_matches(spark):
+    """Work is linear: a candidate of 1 MB without a dense window, and 100,000 matches in one text."""
+    import time
+
+    long = ("xy1" * 350_000, "aZ3/" * 4 + "x1" * 500_000 + KEY)
+    lines = lambda n: " ".join(f"token={i:06d} " + ("deadbeefdeadbeef0" * 2 + " ") * (i % 2) + "x1y2z3-q7w8e9-r4t5u6i" for i in range(n))
+    began = time.time()
+    got = {r["doc_id"]: r for r in scan.scan(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate([*long, lines(40_000), lines(1500)])])).collect()}
+    assert time.time() - began < 90
+    assert got[0]["spans"] == "" and got[1]["spans"] == f"entropy:0:{len(long[1])}"
+    assert (got[2]["n_assign"], got[2]["n_hex"]) == (40_000, 20_000)
+    assert tuple(got[3])[1:] == brute(lines(1500))
+
+
 def test_edges(spark):
     assert scan.scan(frame(spark, [])).count() == 0
     assert plain(scan.scan(clashing(spark))) == plain(scan.scan(frame(spark)))
