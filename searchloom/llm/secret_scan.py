@@ -100,13 +100,15 @@ def window_entropy(text: Column, enough: Column | None = None) -> Column:
             state["counts"], lambda c, j: c + one(enter, j) - F.when(full, one(leave, j)).otherwise(F.lit(0).cast("long"))
         )
         bits = F.when(i >= WINDOW, math.log2(WINDOW) - total / WINDOW).otherwise(0.0)
-        moved = F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+        best = F.greatest(state["best"], bits)
+        moved = F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"), state["enough"].alias("enough"))
         # The same symbol comes and goes: nothing changes.
         moved = F.when(full & (enter == leave), state).otherwise(moved)
-        return moved if enough is None else F.when(state["best"] >= enough, state).otherwise(moved)
+        return F.when(state["best"] >= state["enough"], state).otherwise(moved)
 
     longs = F.array_repeat(F.lit(0).cast("long"), -(-len(_SYMBOLS) // _PER_LONG))
-    start = F.struct(longs.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    enough = F.lit(math.inf) if enough is None else enough
+    start = F.struct(longs.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), enough.alias("enough"))
     # transform names the codes, so that they are made once.
     best = F.transform(
         F.array(codes),
