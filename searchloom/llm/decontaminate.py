@@ -1,275 +1,311 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 Every item gives windows of ``WINDOW`` consecutive words (one, if it is
-shorter). A window's shingles are ordered by their rarity over the whole
-corpus; exact containment needs all of them, so its prefix is the single
-rarest one, and a document meets a window only where that shingle occurs. The
-place of the shingle in the window and the lengths bound the rest
-(``0 <= start`` and ``start + length <= n_words``), and the words are compared
-whole, as vocabulary ids, so no hash can mislead.
-
-The index of the items is sent to every executor only while the items' text is
-at most ``BLOCK_BYTES``; a larger benchmark is split by item into blocks of
-that size, each met with all documents in turn, and the hits are merged.
+shorter). A window's shingles of ``SHINGLE`` words are ordered by their rarity
+over the whole corpus; exact containment needs all of them, so its prefix is the
+single rarest one, and a window of which one is nowhere is left out. Items are
+tables throughout: what goes to every task is a bit for each hash of a shingle,
+``FILTER_BITS`` at most whatever the benchmark's size. The shingles of documents
+that pass it meet the windows in a join on the prefix; the place of the shingle
+in the window and the lengths bound the rest (``0 <= start`` and
+``start + length <= n_words``), and the words around it, which a candidate
+carries, are compared whole, so no hash can mislead. Two scans of the corpus;
+only candidates are shuffled.
 
 Edge cases: a null or empty text has no words and no hits; an item without
 words gives no window; an item of a null id is skipped; repeated rows (of
 either table) each count alike; a document or item table without rows gives no
-hits; other columns are ignored.
+hits; other columns are ignored or, by :func:`with_hits`, kept.
 """
 
 from __future__ import annotations
 
-import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from searchloom.llm.common import ALNUM_TABLE, numbered, pick, word_blocks
+from searchloom.llm.common import ALNUM_TABLE, numbered, pick, stage, word_blocks
 
 WINDOW, SHINGLE = 10, 3
-BLOCK_BYTES = 16 << 20
-
-HITS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("starts", T.ArrayType(T.LongType())),
-        T.StructField("ends", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+#: Bits of a filter for each hash in it, and the most bits of a filter (64 MB), as powers of two.
+BITS_A_HASH, FILTER_BITS, LEAST_BITS = 64, 29, 16
+#: Bits of one row of a filter while it is put together.
+_CHUNK = 1 << 16
+#: Rows of candidates or windows that a task gives at once.
+_ROWS = 1 << 14
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(ALNUM_TABLE).split()
 
 
-class WindowIndex:
-    """Windows of a block of items over the ids of the items' own words.
-
-    Id 0 is any other word. A shingle of ``SHINGLE`` ids (fewer where the
-    window is shorter) is packed into one integer with its length; packing is
-    exact while the vocabulary is under 2**20 words, which ``BLOCK_BYTES``
-    bytes of items can't exceed by more than a factor that is checked here.
-    """
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, data in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(data)]
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        if len(self.vocabulary) >= 1 << 20:
-            raise ValueError("a block of items has 2**20 different words; lower BLOCK_BYTES")
-        self.windows = list(windows)
-        self.items = [sorted(windows[w]) for w in self.windows]
-        self.lengths = sorted({min(SHINGLE, len(w)) for w in self.windows})
-        found = {s for w in self.windows for s in self._shingles(w)}
-        self.shingles = np.array(sorted(found), np.int64)
-
-    @staticmethod
-    def _shingles(window: tuple[int, ...]) -> list[int]:
-        n = min(SHINGLE, len(window))
-        return [WindowIndex.pack(window[i : i + n]) for i in range(len(window) - n + 1)]
-
-    @staticmethod
-    def pack(ids) -> int:
-        packed = 0
-        for x in ids:
-            packed = packed << 20 | x
-        return packed | len(ids) << 60
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Chooses each window's rarest shingle and files the window under it."""
-        rows = []
-        for at, window in enumerate(self.windows):
-            shingles = self._shingles(window)
-            place = min(range(len(shingles)), key=lambda i: (counts.get(shingles[i], 0), shingles[i]))
-            rows.append((shingles[place], place, at))
-        rows.sort()
-        self.prefixes = np.array([r[0] for r in rows], np.int64)
-        self.places = np.array([r[1] for r in rows], np.int64)
-        self.of = np.array([r[2] for r in rows], np.int64)
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.flat = np.concatenate([np.array(w, np.int64) for w in self.windows]) if rows else np.empty(0, np.int64)
-        self.flat_at = np.concatenate(([0], np.cumsum(self.sizes)))
-
-    def ids(self, data: bytes | None) -> np.ndarray:
-        get, parts = self.vocabulary.get, []
-        for words in word_blocks((data or b"").translate(ALNUM_TABLE)):
-            parts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-    def packed(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """Packed shingles of n words at each start, -1 where a word is none of the items'."""
-        size = max(0, len(ids) - n + 1)
-        out, known = np.zeros(size, np.int64), np.ones(size, bool)
-        for i in range(n):
-            part = ids[i : i + size]
-            out = out << 20 | part
-            known &= part > 0
-        return np.where(known, out | n << 60, -1)
-
-    def count(self, ids: np.ndarray, into: np.ndarray) -> None:
-        for n in self.lengths:
-            found = self.packed(ids, n)
-            found = found[found >= 0]
-            at = np.minimum(np.searchsorted(self.shingles, found), len(self.shingles) - 1)
-            at = at[self.shingles[at] == found]
-            np.add.at(into, at, 1)
-
-    def hits(self, ids: np.ndarray) -> tuple[list[int], list[int], list[str]]:
-        """Merged spans of words inside windows, and the items met."""
-        starts, windows = [], []
-        for n in self.lengths:
-            found = self.packed(ids, n)
-            where = np.flatnonzero(found >= 0)
-            found = found[where]
-            low, high = np.searchsorted(self.prefixes, found, "left"), np.searchsorted(self.prefixes, found, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                for k in range(low[i], high[i]):
-                    window, start = self.of[k], where[i] - self.places[k]
-                    size = self.sizes[window]
-                    if start < 0 or start + size > len(ids):
-                        continue
-                    begin = self.flat_at[window]
-                    if np.array_equal(ids[start : start + size], self.flat[begin : begin + size]):
-                        starts.append(int(start))
-                        windows.append(int(window))
-        if not starts:
-            return [], [], []
-        inside = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, np.array(starts) + self.sizes[windows], -1)
-        edges = np.diff(np.concatenate(([0], (np.cumsum(inside) > 0).astype(np.int8))))
-        items = sorted({x for w in set(windows) for x in self.items[w]})
-        return np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist(), items
-
-
-_loaded: tuple[int | None, WindowIndex | None] = (None, None)
-
-
-def _index(shared) -> WindowIndex:
-    """A worker's copy of an index; it keeps one at a time."""
-    global _loaded
-    if _loaded[0] != shared[0]:
-        _loaded = (shared[0], pickle.loads(shared[1].value))
-    return _loaded[1]
-
-
-_serial = 0
-
-
-def _share(spark, index: WindowIndex):
-    global _serial
-    _serial += 1
-    return f"{spark.sparkContext.applicationId}-{_serial}", spark.sparkContext.broadcast(pickle.dumps(index))
-
-
-def _counter(shared):
+def _codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def shingle_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on; the number of words plays a part."""
+    size = max(0, len(codes) - n + 1)
+    out = np.full(size, n, np.uint64)
+    for i in range(n):
+        out = (out ^ codes[i : i + size]) * _MULTIPLIER
+        out ^= out >> np.uint64(31)
+    return out * _MULTIPLIER
+
+
+_WINDOWS = "item string, w string, k int, hashes array<long>"
+
+
+def _windows(batches):
+    """Windows of items, with the hashes of their shingles."""
+    for batch in batches:
+        for item, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(data)
+            k = min(WINDOW, len(words))
+            if not k:
+                continue
+            n = min(SHINGLE, k)
+            hashes = shingle_hashes(_codes(words), n).view(np.int64)
+            for first in range(0, len(words) - k + 1, _ROWS):
+                places = range(first, min(first + _ROWS, len(words) - k + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([item] * len(places), pa.string()),
+                        pa.array([b" ".join(words[i : i + k]).decode() for i in places], pa.string()),
+                        pa.array([k] * len(places), pa.int32()),
+                        pa.array([hashes[i : i + k - n + 1] for i in places], pa.list_(pa.int64())),
+                    ],
+                    ["item", "w", "k", "hashes"],
+                )
+
+
+class Filter:
+    """A bit for each hash, by its highest bits; none that was put in is missed."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.shift, self.data = np.uint64(64 - bits), data
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> self.shift).astype(np.int64)
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _chunks(batches):
+    """One row a chunk of bits; all rows of a chunk are in one task."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        chunk, bit = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for c in np.unique(chunk).tolist():
+            held.setdefault(c, np.zeros(_CHUNK, bool))[bit[chunk == c]] = True
+    for c, bits in held.items():
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "bits"])
+
+
+def build_filter(hashes: DataFrame, most: int = FILTER_BITS) -> Filter:
+    """A filter of ``hashes(h)``. The driver gathers its bits, never the hashes."""
+    n = hashes.count()
+    bits = min(most, max(LEAST_BITS, int(n * BITS_A_HASH).bit_length()))
+    place = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
+    where = hashes.select(F.floor(place / _CHUNK).alias("chunk"), (place % _CHUNK).cast("int").alias("bit")).distinct()
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    for row in where.repartition("chunk").mapInArrow(_chunks, "chunk long, bits binary").toLocalIterator():
+        at = row["chunk"] * (_CHUNK // 8)
+        data[at : at + _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)[: len(data) - at]
+    return Filter(bits, data)
+
+
+def _text_codes(data: bytes | None):
+    """Words and codes of a text."""
+    words: list[bytes] = []
+    for part in word_blocks((data or b"").translate(ALNUM_TABLE)):
+        words += part
+    return words, _codes(words)
+
+
+def _counter(shared, lengths: list[int]):
+    """How often each shingle that passes the filter is in the texts of a task."""
+
     def count(batches):
-        index = _index(shared)
-        counts = np.zeros(len(index.shingles), np.int64)
+        passes = shared.value
+        counts: dict[int, int] = {}
+        found: list[np.ndarray] = []
+        size = 0
+
+        def add() -> None:
+            for h, n in zip(*(x.tolist() for x in np.unique(np.concatenate(found), return_counts=True)), strict=True):
+                counts[h] = counts.get(h, 0) + n
+
+        def rows():
+            hashes = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], ["h", "n"])
+
         for batch in batches:
             for data in batch.column(0).cast(pa.binary()).to_pylist():
-                index.count(index.ids(data), counts)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(index.shingles[at]), pa.array(counts[at])], ["shingle", "n"])
+                codes = _text_codes(data)[1]
+                for n in lengths:
+                    hashes = shingle_hashes(codes, n)
+                    found.append(hashes[passes(hashes)])
+                    size += len(found[-1])
+                if size > 1 << 18:
+                    add()
+                    found, size = [], 0
+                if len(counts) > 1 << 19:  # partial counts are added up anyway
+                    yield rows()
+                    counts = {}
+        if found:
+            add()
+        yield rows()
 
     return count
 
 
-def _hits_udf(shared):
-    @F.arrow_udf(HITS)
-    def hits(texts: pa.Array) -> pa.Array:
-        index, out = _index(shared), []
-        for data in texts.cast(pa.binary()).to_pylist():
-            ids = index.ids(data)
-            out.append((len(ids), *index.hits(ids)))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
-        return pa.StructArray.from_arrays(
-            [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], HITS.names
-        )
+_FOUND = "n_words long, pos long, h long, first long, around string"
+
+
+def _candidates(shared, lengths: list[int]):
+    """For each text a row of its number of words (with all columns but the text),
+    and one for each shingle that passes the filter, with the words around it."""
 
-    return hits.asNondeterministic()
+    def search(batches):
+        passes = shared.value
+        for batch in batches:
+            own = batch.drop_columns(["text"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sizes: list[int] = []
+            rows: list[tuple] = []
+
+            def given(rows=rows, own=own) -> pa.RecordBatch:
+                at = pa.array([r[0] for r in rows], pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                columns = [pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds)]
+                rows.clear()
+                return pa.RecordBatch.from_arrays([*own.take(at).columns, *columns], [*own.schema.names, *_NAMES])
+
+            for row, data in enumerate(texts):
+                words, codes = _text_codes(data)
+                sizes.append(len(words))
+                for n in lengths:
+                    hashes = shingle_hashes(codes, n)
+                    at = np.flatnonzero(passes(hashes))
+                    for pos, h in zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+                        first = max(0, pos - WINDOW + n)
+                        rows.append((row, len(words), pos, h, first, b" ".join(words[first : pos + WINDOW]).decode()))
+                        if len(rows) >= _ROWS:
+                            yield given()
+            yield given()
+            rows += [(row, n, None, None, None, None) for row, n in enumerate(sizes)]
+            yield given()
+
+    return search
+
+
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+
+
+def _prefixes(docs: DataFrame, windows: DataFrame, lengths: list[int], bits: int) -> DataFrame:
+    """``w, k, h, place`` of every window that may be somewhere: its rarest shingle."""
+    spark = docs.sparkSession
+    distinct = windows.dropDuplicates(["w"]).select("w", "k", F.posexplode("hashes").alias("place", "h"))
+    known = stage(distinct, "shingles")
+    passes = spark.sparkContext.broadcast(build_filter(known.select("h").distinct(), bits))
+    counts = docs.select("text").mapInArrow(_counter(passes, lengths), "h long, n long")
+    counts = counts.groupBy("h").agg(F.sum("n").alias("n"))
+    met = known.join(counts, "h", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place"))
+    prefixes = met.groupBy("w", "k").agg(rarest.alias("p")).where("p.n > 0")
+    return stage(prefixes.select("w", "k", F.col("p.h").alias("h"), F.col("p.place").alias("place")), "prefixes")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (``rid``, ``text`` and more): ``n_words`` and all but the text of
+    every row; ``rid, start, end`` of the windows in it; ``rid, item``, distinct."""
+    spark = docs.sparkSession
+    items = pick(benchmark, "item_id", "text").toDF("item", "text").where("item is not null and text is not null")
+    items = items.select(F.col("item").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    windows = stage(items.repartition(F.xxhash64("item", "text")).mapInArrow(_windows, _WINDOWS), "windows")
+    lengths = sorted(min(SHINGLE, r["k"]) for r in windows.select(F.least("k", F.lit(SHINGLE)).alias("k")).distinct().collect())
+    prefixes = _prefixes(docs, windows, lengths, bits)
+    passes = spark.sparkContext.broadcast(build_filter(prefixes.select("h").distinct(), bits))
+    own = [c for c in docs.columns if c != "text"]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own]
+    found = docs.mapInArrow(_candidates(passes, lengths), ", ".join([*kinds, _FOUND]))
+    found = stage(found, "candidates")
+    start = (F.col("pos") - F.col("place")).alias("start")
+    met = found.where("h is not null").join(prefixes, "h").select("rid", "n_words", "first", "around", "w", "k", start)
+    met = met.where("start >= 0 and start + k <= n_words")
+    inside = F.array_join(F.slice(F.split("around", " "), (F.col("start") - F.col("first") + 1).cast("int"), F.col("k")), " ")
+    met = met.where(inside == F.col("w"))
+    met = stage(met.select("rid", "start", (F.col("start") + F.col("k")).alias("end"), "w"), "met-windows")
+    of_items = met.select("rid", "w").distinct().join(windows.select("w", "item").distinct(), "w").select("rid", "item").distinct()
+    return found.where("h is null").select(*own, "n_words"), met.select("rid", "start", "end").distinct(), of_items
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of a row that overlap or touch, as one."""
+    order = W.partitionBy("rid").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") > before, F.lit(True)).cast("int")
+    spans = spans.withColumn("begins", begins).withColumn("n", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return spans.groupBy("rid", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """Items in blocks of about ``block_bytes``, by their id."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) for b in range(n)]
+HITS = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("starts", T.ArrayType(T.LongType())),
+        T.StructField("ends", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
 
 
-def _built(docs: DataFrame, items: DataFrame):
-    """The index of one block with corpus counts of its shingles."""
-    spark = docs.sparkSession
-    rows = [(r["item"], bytes(r["text"])) for r in items.select("item", F.col("text").cast("binary")).collect()]
-    index = WindowIndex(rows)
-    counts = {}
-    if index.windows:
-        found = docs.select("text").mapInArrow(_counter(_share(spark, index)), "shingle long, n long")
-        # At most one row a shingle of the block, whose size is bounded.
-        counts = {r["shingle"]: r["n"] for r in found.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-    index.order(counts)
-    return _hits_udf(_share(spark, index))
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` (with a ``text``) with a struct ``n_words, starts, ends, items``:
     merged spans of hit words (end exclusive) and the ids of items met."""
-    items = pick(benchmark, "item_id", "text").toDF("item", "text")
-    items = items.where("item is not null and text is not null").withColumn("item", F.col("item").cast("string"))
-    udfs = [_built(pick(docs, "text"), block) for block in _blocks(items, block_bytes)]
-    text, rows = F.col(f"_{docs.columns.index('text')}"), numbered(docs)
-    if len(udfs) == 1:
-        return rows.withColumn("_hits", udfs[0](text)).toDF(*docs.columns, name)
-    parts = [f"_hits{i}" for i in range(len(udfs))]
-    for part, udf in zip(parts, udfs, strict=True):
-        rows = rows.withColumn(part, udf(text))
-    spans = F.array_sort(F.flatten(F.array(*[F.arrays_zip(f"{p}.starts", f"{p}.ends") for p in parts])))
-    merged = F.aggregate(
-        spans,
-        F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["e"] >= x["starts"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["s"].alias("s"),
-                        F.greatest(F.element_at(done, -1)["e"], x["ends"]).alias("e"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(x["starts"].alias("s"), x["ends"].alias("e"))))),
-    )
-    whole = F.struct(
-        F.col(parts[0])["n_words"].alias("n_words"),
-        merged["s"].alias("starts"),
-        merged["e"].alias("ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts])))).alias("items"),
-    )
-    return rows.withColumn("_hits", whole).drop(*parts).toDF(*docs.columns, name)
-
-
-def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    # A table, so that a row keeps its number.
+    rows = stage(numbered(docs).withColumn("rid", F.monotonically_increasing_id()), "decontaminate")
+    words, spans, items = _search(rows.select("rid", F.col(f"_{docs.columns.index('text')}").alias("text")), benchmark, bits)
+    place: Column = F.array_sort(F.collect_list(F.struct("start", "end")))
+    spans = _merged(spans).groupBy("rid").agg(place.alias("s"))
+    items = items.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = words.join(spans, "rid", "left").join(items, "rid", "left")
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    hits = hits.withColumn("s", F.coalesce("s", none)).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
+    hits = hits.select(F.col("rid").alias("_rid"), F.struct("n_words", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"), "items").alias("_hits"))
+    return rows.join(hits, F.col("rid") == F.col("_rid")).drop("rid", "_rid").toDF(*docs.columns, name)
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item. Equal texts have the
+    same hits, so a digest of the text tells the rows apart."""
+    rows, at = numbered(docs), F.col(f"_{docs.columns.index('text')}")
+    digest = F.md5(F.coalesce(at, F.lit("")).cast("binary"))
+    spans = _search(rows.select(digest.alias("rid"), at.alias("text")), benchmark, bits)[1]
+    hit = stage(spans.select("rid").distinct(), "hit-texts")
+    return rows.join(hit, digest == F.col("rid"), "left_anti").toDF(*docs.columns)
+
+
+def report(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Counts of hit words and items for each document."""
-    found = with_hits(pick(docs, "doc_id", "text"), benchmark, "h", block_bytes)
-    n_hit = F.aggregate(F.zip_with("h.starts", "h.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
+    rows = pick(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    words, spans, items = _search(rows, benchmark, bits)
+    spans = _merged(spans).groupBy("rid").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+    items = items.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = words.join(spans, "rid", "left").join(items, "rid", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return found.select(
         "doc_id",
-        F.col("h.n_words").alias("n_words"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("h.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "h.items"), 256).alias("items_sha256"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 

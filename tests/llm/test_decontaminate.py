@@ -44,10 +44,11 @@ def planted():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 40])
-def test_hits_are_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, 3])
+def test_hits_are_brute_force(spark, bits):
+    """Also with a filter of 8 bits, which lets nearly everything pass."""
     docs, items = planted()
-    got = decontaminate.report(frame(spark, docs), spark.createDataFrame(items, ITEMS), block_bytes)
+    got = decontaminate.report(frame(spark, docs), spark.createDataFrame(items, ITEMS), bits)
     assert plain(got) == brute(docs, items)
 
 
@@ -57,6 +58,14 @@ def test_spans(spark):
     assert (row["starts"], row["ends"]) == ([1, 6], [5, 8])
 
 
+def test_without_hits(spark):
+    docs, items = planted()
+    docs += docs[70:75]
+    got = decontaminate.without_hits(frame(spark, docs), spark.createDataFrame(items, ITEMS))
+    clean = [r for r in docs if not brute([r], items)[0][-1]]
+    assert plain(got) == sorted(clean, key=repr)
+
+
 def test_query_equals_sql(spark, duck, folder):
     from searchloom.llm.queries import op3_decontaminate
 
@@ -71,7 +80,28 @@ def test_edges(spark):
     assert plain(decontaminate.report(clashing(spark), items)) == plain(decontaminate.report(frame(spark), items))
 
 
-def test_rarest_shingle_is_the_prefix():
-    index = decontaminate.WindowIndex([("1", b"a b c d")])
-    index.order({index.pack(index.ids(b"a b c").tolist()): 9, index.pack(index.ids(b"b c d").tolist()): 2})
-    assert index.places.tolist() == [1]
+def test_rarest_shingle_is_the_prefix(spark):
+    docs = frame(spark, [(1, "a b c x a b c b c d", "", "", 0)]).select("text")
+    items = spark.createDataFrame([("1", b"a b c d")], "item string, text binary")
+    windows = items.mapInArrow(decontaminate._windows, decontaminate._WINDOWS)
+    (row,) = decontaminate._prefixes(docs, windows, [3], 16).collect()
+    assert (row["w"], row["k"], row["place"]) == ("a b c d", 4, 1)
+
+
+def test_a_large_benchmark_of_many_words(spark):
+    """20 MB of items with 2**21 different words, one item of 6 MB; nothing is kept in the driver or one index."""
+    rng = random.Random(9)
+    names = [f"w{i:07x}" for i in range(1 << 21)]
+    long = names[: 600_000]
+    items = [(1, " ".join(long))] + [(2 + i, " ".join(names[600_000 + i * 100 : 600_000 + (i + 1) * 100])) for i in range(14_970)]
+    docs, want = [], []
+    for i in range(60):
+        at = rng.randrange(len(names) - 40)
+        n = rng.choice([5, 9, 10, 12, 30])
+        docs.append((i, f"{i} a text that has " + " ".join(names[at : at + n]).upper() + " and more", "en", "s", 1))
+        # Runs that stay inside one item, of 10 words at least.
+        owner = lambda j: 1 if j < 600_000 else 2 + (j - 600_000) // 100
+        hit = {j for s in range(at, at + n - 9) if owner(s) == owner(s + 9) for j in range(s, s + 10)}
+        want.append((i, n + 7, len(hit), len({owner(j) for j in hit})))
+    got = decontaminate.report(frame(spark, docs), spark.createDataFrame(items, ITEMS).repartition(8)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == want
