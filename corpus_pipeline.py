@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 and read again as the documents of the next. All but the last return the
 columns of ``documents``.
+
+Edge cases: null and empty texts fail the quality rules; rows that share an id
+or lack one are each judged by their text, and of a group of near duplicates
+the row of the smallest id stays (nulls last); repeated rows are one group; an
+empty table gives an empty result; extra columns are dropped, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,8 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.with_hits(pick(docs, *COLUMNS), benchmark, "_hits")
-    return found.where("size(_hits.items) = 0").select(*COLUMNS)
+    return decontaminate.without_hits(pick(docs, *COLUMNS), benchmark)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
