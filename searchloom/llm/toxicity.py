@@ -2,23 +2,27 @@
 
 Terms are words and word beginnings of 4 to 6 bytes: all that ``LEAST_DOCS``
 toxic examples hold and that are ``LEAST_RATIO`` times more frequent among toxic
-examples than among others. IDF is their document frequency over the whole corpus. The inverted index of
-the examples is in blocks of ``BLOCK`` examples, each with the highest weight of
-each term in it; a text's blocks are scored from the highest bound down, until
-no bound reaches the K-th best, so the nearest are exact.
+examples than among others. (Over all words the nearest examples say much less;
+README has the figures.) IDF is their document frequency over the whole corpus.
+The inverted index of the examples is in blocks of ``BLOCK`` examples, each with
+the highest weight of each term in it; a text's blocks are scored from the
+highest bound down, until no bound reaches the K-th best, so the nearest are
+exact. It is built once, from the examples' counts of terms; their texts stay in
+tables.
 
 Votes weigh by cosine, and by how many labelled rows an example stands for
-(each label has its own bound of about ``MOST_EXAMPLES`` examples of at most
-``MOST_EXAMPLE_BYTES``, by a hash of the id; near copies, which share their least shingle hash, are one), with
-``PRIOR_VOTES`` votes for the share of toxic rows among those that hold none of
-the terms. A text without any of the terms (an empty one too)
+(each label has its own bound of about ``MOST_EXAMPLES`` examples, of any length,
+by a hash of the id; near copies, which share their least shingle hash, are
+one), with ``PRIOR_VOTES`` votes for the share of toxic rows among those that
+hold none of the terms. A text without any of the terms (an empty one too)
 gets that share. Evidence: the nearest examples with cosine and label.
 
 Edge cases: a null text is an empty one; a null id is not held out and has no
 label; labels that repeat or differ for an id count as the highest; null labels
 count as none; without toxic or without other examples every score is the share
-of toxic examples (0 without examples); repeated rows are scored alike; other
-columns are ignored.
+of toxic examples (0 without examples); examples of the same cosine are taken in
+an order of their terms and texts, not of ids; repeated rows are scored alike;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ from pyspark.sql import types as T
 from searchloom.llm.common import ALNUM_TABLE, pick, stage, word_blocks
 
 FOLDS = 5
-#: Examples of each label, and the longest text that is one: together they bound what the driver gathers and sends.
-MOST_EXAMPLES, MOST_EXAMPLE_BYTES = 3000, 1 << 15
+#: Examples of each label, about: it bounds what the driver gathers (counts of terms) and sends.
+MOST_EXAMPLES = 3000
 #: A term is in this many toxic examples at least, and so many times more often than elsewhere.
 LEAST_DOCS, LEAST_RATIO = 5, 3.0
 STEMS = (4, 5, 6)
@@ -91,47 +95,44 @@ class Terms:
         return out
 
 
-def without_near_copies(examples: list[tuple[int, bytes, int]]) -> list[tuple[int, bytes, int]]:
-    """One example of each label and least hash of 3-word shingles, so that a much copied text isn't many examples."""
-    kept: dict[tuple[int, int], tuple[int, bytes, int]] = {}
-    for example in examples:
-        least, carry = 1 << 32, []
-        for words in word_blocks(example[1].translate(ALNUM_TABLE)):
-            words = carry + words
-            carry = words[-2:]
-            least = min(least, min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=least))
-        kept.setdefault((least, example[2]), example)
-    return list(kept.values())
-
-
-def choose_terms(examples: list[tuple[int, bytes, int]]) -> list[bytes]:
-    """All terms that enough toxic examples hold, and far more often than the others, by divergence."""
-    sizes, found = [0, 0], [Counter(), Counter()]
-    for _, data, label in examples:
-        sizes[label] += 1
-        found[label].update({t for w in word_counts(data) for t in terms_of(w)})
+def least_shingle(data: bytes) -> int:
+    """The least hash of the 3-word shingles of a text: near copies share it, mostly."""
+    least, carry = 1 << 32, []
+    for words in word_blocks(data.translate(ALNUM_TABLE)):
+        words = carry + words
+        carry = words[-2:]
+        least = min(least, min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=least))
+    return least
+
+
+def choose_terms(counts, sizes: list[int]) -> list[bytes]:
+    """All terms that enough toxic examples hold, and far more often than the
+    others, by divergence. counts: term, and examples of label 0 and 1 with it;
+    sizes: examples of each label."""
     scored = []
-    for term, n in found[1].items():
+    for term, others, n in counts:
         if n < LEAST_DOCS:
             continue
-        p, q = (n + 0.5) / (sizes[1] + 1), (found[0][term] + 0.5) / (sizes[0] + 1)
+        p, q = (n + 0.5) / (sizes[1] + 1), (others + 0.5) / (sizes[0] + 1)
         if p >= LEAST_RATIO * q:
             scored.append(((p - q) * math.log(p / q), term))
     return [t for _, t in sorted(scored, reverse=True)]
 
 
 class BlockMaxIndex:
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, bytes, int]], weights: list[float]):
+    """examples: id, counts of terms, label, digest of the text; weights: labelled rows for each example, by label."""
+
+    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, dict, int, str]], weights: list[float]):
         self.terms, self.idf = terms, idf
         self.counter = Terms(terms)
         rows = []
         empty = [0.0, 0.0]
-        for doc_id, data, label in examples:
-            vector = self.vector(self.counter.counts(data))
+        for doc_id, counts, label, digest in examples:
+            vector = self.vector(counts)
             if vector is None:
                 empty[label] += weights[label]
             else:
-                rows.append((doc_id, label, *vector, data))
+                rows.append((doc_id, label, *vector, digest))
         self.base = (empty[1] + sum(weights) * 1e-6) / (sum(empty) + 1) if sum(empty) else 0.0
         # Examples alike in their strongest term share blocks, which tightens the bounds. Ids play no part in the order.
         rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[4]))
@@ -215,10 +216,47 @@ def _frequencies(key: str, terms: list[bytes]):
     return count
 
 
+def _shingled(batches):
+    for batch in batches:
+        least = [least_shingle(data) for data in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "least"])
+
+
+def _term_labels(batches):
+    """In how many of a task's examples of each label a term is."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+    for batch in batches:
+        for data, label in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("label").to_pylist(), strict=True):
+            found[label].update({t for w in word_counts(data) for t in terms_of(w)})
+    terms = [*found[0].keys() | found[1].keys()]
+    columns = [pa.array(terms, pa.binary()), *[pa.array([f[t] for t in terms], pa.int64()) for f in found]]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "n0", "n1"])
+
+
+_COUNTED = "doc_id long, label int, digest string, terms array<int>, counts array<int>"
+
+
+def _counted(terms: list[bytes]):
+    """Examples as counts of terms."""
+
+    def count(batches):
+        counter = Terms(terms)
+        names = [x.split()[0] for x in _COUNTED.split(", ")]
+        ints = pa.list_(pa.int32())
+        for batch in batches:
+            found = [counter.counts(data) for data in batch.column("text").cast(pa.binary()).to_pylist()]
+            own = [batch.column(n) for n in ("doc_id", "label", "digest")]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array([[*f] for f in found], ints), pa.array([[*f.values()] for f in found], ints)], names
+            )
+
+    return count
+
+
 def _scorer(key: str, shared):
     @F.arrow_udf(RESULT)
     def score(texts: pa.Array) -> pa.Array:
-        index = _once(key, lambda: BlockMaxIndex(*shared.value))
+        index = _once(key, lambda: shared.value)
         out = [index.score(data) for data in texts.cast(pa.binary()).to_pylist()]
         kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
         return pa.StructArray.from_arrays(
@@ -245,21 +283,31 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Data
     for c, s in share.items():
         limit = F.when(F.col("label") == c, int(s * (1 << 30))).otherwise(limit)
     chosen = stage(known.where(key < limit).select("doc_id", "label"), "toxicity-chosen")
-    short = texts.where(F.octet_length("text") <= MOST_EXAMPLE_BYTES)
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-    examples = [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.collect()]
-    examples = without_near_copies(sorted(examples, key=lambda r: r[0]))
-    counts = Counter(label for _, _, label in examples)
-    weights = [sizes.get(c, 0) / counts[c] if counts[c] else 0.0 for c in (0, 1)]
+    # As many rows as MOST_EXAMPLES allows, of each label.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    rows = rows.mapInArrow(_shingled, "doc_id long, text string, label int, least long")
+    rows = rows.groupBy("least", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    examples = stage(rows.select("r.doc_id", "r.text", "label", F.sha2("r.text", 256).alias("digest")), "toxicity-examples")
+    counts = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = [sizes.get(c, 0) / counts[c] if counts.get(c) else 0.0 for c in (0, 1)]
     _serial += 1
     name = f"{spark.sparkContext.applicationId}-{_serial}"
-    terms = choose_terms(examples) if counts[0] and counts[1] else []
+    terms: list[bytes] = []
+    if counts.get(0) and counts.get(1):
+        found = examples.mapInArrow(_term_labels, "term binary, n0 long, n1 long").groupBy("term")
+        found = found.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= LEAST_DOCS)
+        terms = choose_terms(((bytes(r["term"]), r["n0"], r["n1"]) for r in found.collect()), [counts[0], counts[1]])
     idf = np.ones(len(terms))
     if terms:
         found = texts.select("text").mapInArrow(_frequencies(f"terms-{name}", terms), "term long, n long")
         df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         idf = np.array([math.log(1 + df.get(len(terms), 0) / (1 + df.get(i, 0))) for i in range(len(terms))])
-    shared = spark.sparkContext.broadcast((terms, idf, examples, weights))
+    vectors = [
+        (r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["label"], r["digest"])
+        for r in examples.mapInArrow(_counted(terms), _COUNTED).collect()
+    ]
+    shared = spark.sparkContext.broadcast(BlockMaxIndex(terms, idf, vectors, weights))
     out = texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _scorer(f"index-{name}", shared)("text").alias("r"))
     evidence = F.arrays_zip(
         F.col("r.doc_ids").alias("doc_id"), F.col("r.cosines").alias("cosine"), F.col("r.labels").alias("label")

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -30,9 +31,19 @@ def index():
     docs, labels = corpus()
     known = dict((d, t) for d, _, t in labels)
     examples = [(d[0], d[1].encode(), known[d[0]]) for d in docs if d[0] in known]
-    terms = toxicity.choose_terms(examples)
-    idf = np.array([1 + (i % 5) / 3 for i in range(len(terms))])
-    return toxicity.BlockMaxIndex(terms, idf, examples, [2.0, 1.0]), examples, docs
+    return built_of(examples, [2.0, 1.0]), examples, docs
+
+
+def built_of(examples, weights, idf=lambda i: 1 + (i % 5) / 3):
+    sizes = [sum(label == c for *_, label in examples) for c in (0, 1)]
+    found = {}
+    for _, data, label in examples:
+        for t in {t for w in toxicity.word_counts(data) for t in toxicity.terms_of(w)}:
+            found.setdefault(t, [0, 0])[label] += 1
+    terms = toxicity.choose_terms(((t, *n) for t, n in found.items()), sizes)
+    counter = toxicity.Terms(terms)
+    counted = [(i, counter.counts(data), label, data.decode()) for i, data, label in examples]
+    return toxicity.BlockMaxIndex(terms, np.array([idf(i) for i in range(len(terms))]), counted, weights)
 
 
 def test_nearest_are_brute_force(monkeypatch):
@@ -65,9 +76,8 @@ def test_no_term_is_cut():
     words = [f"{i:03d}w" for i in range(600)]
     examples = [(i, " ".join([f"t{i}", *(words[j] for j in range(600) if (i - j) % 200 == 0)]).encode(), 1) for i in range(1000)]
     examples += [(1000 + i, f"plain text {i}".encode(), 0) for i in range(1000)]
-    terms = toxicity.choose_terms(examples)
-    assert {w.encode() for w in words} <= set(terms)
-    built = toxicity.BlockMaxIndex(terms, np.ones(len(terms)), examples, [1.0, 1.0])
+    built = built_of(examples, [1.0, 1.0], lambda i: 1.0)
+    assert {w.encode() for w in words} <= set(built.terms)
     assert all(built.score(w.encode())[0] > 0.5 and len(built.score(w.encode())[1]) == 5 for w in words)
 
 
@@ -85,8 +95,88 @@ def test_held_out_accuracy(spark):
 
 
 def test_near_copies_count_once():
-    examples = [(i, b"a b c d e f g h", 1) for i in range(5)] + [(9, b"other words in a text", 1)]
-    assert [e[0] for e in toxicity.without_near_copies(examples)] == [0, 9]
+    least = [toxicity.least_shingle(t) for t in (b"a b c d e f g h", b"A b c, d e f g h", b"other words in a text", b"", b"one")]
+    assert least[0] == least[1] and len(set(least)) == 4
+
+
+def brute_scores(docs, labels):
+    """Scores by definition: all cosines over all pairs, in plain Python."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    marked = {}
+    for i, _, t in labels:
+        if t is not None and i is not None and not held(i):
+            marked[i] = max(marked.get(i, 0), t)
+    by_text = {}
+    for i, text, *_ in docs:
+        if i in marked:
+            a, b = by_text.get(text or "", (i, 0))
+            by_text[text or ""] = (min(a, i), max(b, marked[i]))
+    groups = {}
+    for text, (i, label) in by_text.items():
+        key = (toxicity.least_shingle(text.encode()), label)
+        groups[key] = min(groups.get(key, (i, text)), (i, text))
+    examples = [(i, text.encode(), label) for (_, label), (i, text) in groups.items()]
+    n = [sum(x == c for *_, x in examples) for c in (0, 1)]
+    rows = [sum(x == c for x in marked.values()) for c in (0, 1)]
+    weight = [rows[c] / n[c] for c in (0, 1)]
+    terms_in = lambda data: Counter(t for w, k in toxicity.word_counts(data).items() for t in toxicity.terms_of(w) for _ in range(k))
+    found = [terms_in(data) for _, data, _ in examples]
+    both = {t: [sum(t in f for f, e in zip(found, examples, strict=True) if e[2] == c) for c in (0, 1)] for t in set().union(*found)}
+    chosen = set(toxicity.choose_terms(((t, *k) for t, k in both.items()), n))
+    of_docs = [terms_in((text or "").encode()) for _, text, *_ in docs]
+    idf = {t: math.log(1 + len(docs) / (1 + sum(t in f for f in of_docs))) for t in chosen}
+
+    def vector(f):
+        v = {t: (1 + math.log(k)) * idf[t] for t, k in f.items() if t in chosen}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(f) for f in found]
+    empty = [sum(weight[c] for v, e in zip(vectors, examples, strict=True) if e[2] == c and not v) for c in (0, 1)]
+    base = (empty[1] + sum(weight) * 1e-6) / (sum(empty) + 1) if sum(empty) else 0.0
+    out = []
+    for f in of_docs:
+        own = vector(f)
+        cosines = [(round(sum(x * v.get(t, 0) for t, x in own.items()), 9), e[2]) for v, e in zip(vectors, examples, strict=True)]
+        out.append((base, sorted((c for c in cosines if c[0] > 0), reverse=True), weight))
+    return out
+
+
+def test_scores_are_brute_force(spark):
+    """Score, nearest and ties. Where the last of the nearest tie with others of another label, either may be in."""
+    docs, labels = corpus(300, 5)
+    docs += [(1000, docs[4][1], "en", "s", 1), (1001, "", "en", "s", 1), (1002, None, "en", "s", 1), (1003, docs[4][1] + " " + "word " * 20000, "en", "s", 1)]
+    labels += [(1003, 1, 1), (1002, 0, 0), (1000, 0, 1)]
+    got = toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    checked = 0
+    for (i, *_), (base, near, weight) in zip(docs, brute_scores(docs, labels), strict=True):
+        k = toxicity.K
+        best, evidence = near[:k], rows[i]["evidence"]
+        assert len(evidence) == len(best) and all(abs(e["cosine"] - c) < 1e-7 for e, (c, _) in zip(evidence, best, strict=True))
+        if not near:
+            assert abs(rows[i]["score"] - base) < 1e-9
+        elif len(near) <= k or near[k - 1][0] > near[k][0]:
+            votes = [(c * weight[x], x) for c, x in best]
+            scale = toxicity.PRIOR_VOTES * sum(weight[x] for _, x in best) / len(best)
+            want = (sum(v * x for v, x in votes) + scale * base) / (sum(v for v, _ in votes) + scale)
+            assert abs(rows[i]["score"] - want) < 1e-6
+            checked += 1
+    assert checked > 60
+
+
+def test_registered_query(spark, folder):
+    from searchloom.llm.queries import op5_toxicity
+
+    got = op5_toxicity(spark, folder).collect()
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    out = [(r["score"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    toxic, other = [s for s, t in out if t], [s for s, t in out if not t]
+    if toxic and other:
+        better = sum((a > b) + 0.5 * (a == b) for a in toxic for b in other)
+        assert better / (len(toxic) * len(other)) >= 0.5
 
 
 def test_edges(spark):
