@@ -45,9 +45,9 @@ _CLASS[0] = _END
 #: Bytes of a chunk that the table holds; longer chunks are in a dictionary, up to _LONGEST.
 _WIDTH, _LONGEST = 16, 256
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_SLOT_BITS = 21
+_SLOT_BITS = 20
 #: Chunks of a generation (over half of the slots), and long ones.
-_GENERATION, _LONG_GENERATION = 1_200_000, 100_000
+_GENERATION, _LONG_GENERATION = 500_000, 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
