@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGS = ("correct", "unambiguous", "relevant")
@@ -87,17 +89,25 @@ def fleiss_kappa(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.select(*by, F.round(F.try_divide(F.col("seen") - F.col("e"), 1 - F.col("e")), 9).alias("kappa"))
 
 
+def _normal(*keys: Column) -> Column:
+    """A standard normal number of the keys (Box and Muller, from the digits of an MD5): the same in any partitioning."""
+    digest = F.md5(F.concat_ws(":", *keys).cast("binary"))
+    u, v = ((F.conv(F.substring(digest, at, 7), 16, 10).cast("double") + 0.5) / (1 << 28) for at in (1, 8))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
 def simulated_raters(spark: SparkSession, correlations: list[float], rates: list[float], trials: int, items: int, raters: int, seed: int = 33) -> DataFrame:
     """Correlated binary ratings: a share of each rater's normal draw is the
     item's own (Gaussian copula). ``rho, p, trial, item, value``."""
-    grid = spark.createDataFrame([(r, p) for r in correlations for p in rates], "rho double, p double")
     from statistics import NormalDist
 
-    bounds = spark.createDataFrame([(p, NormalDist().inv_cdf(1 - p)) for p in rates], "p double, bound double")
-    rows = grid.join(F.broadcast(bounds), "p").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    rows = rows.withColumn("item", F.explode(F.sequence(F.lit(1), F.lit(items)))).withColumn("g", F.randn(seed))
-    rows = rows.withColumn("rater", F.explode(F.sequence(F.lit(1), F.lit(raters)))).withColumn("e", F.randn(seed + 1))
-    z = F.sqrt("rho") * F.col("g") + F.sqrt(1 - F.col("rho")) * F.col("e")
+    cells = [(i, r, p, NormalDist().inv_cdf(1 - p)) for i, (r, p) in enumerate((r, p) for r in correlations for p in rates)]
+    rows = spark.createDataFrame(cells, "cell int, rho double, p double, bound double")
+    rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    rows = rows.withColumn("item", F.explode(F.sequence(F.lit(1), F.lit(items))))
+    rows = rows.withColumn("rater", F.explode(F.sequence(F.lit(1), F.lit(raters))))
+    own, shared = [F.lit(seed), *map(F.col, ("cell", "trial", "item", "rater"))], [F.lit(seed), *map(F.col, ("cell", "trial", "item"))]
+    z = F.sqrt("rho") * _normal(*shared) + F.sqrt(1 - F.col("rho")) * _normal(*own)
     return rows.select("rho", "p", "trial", "item", (z > F.col("bound")).cast("int").alias("value"))
 
 
@@ -108,5 +118,5 @@ def simulation(ratings: DataFrame) -> DataFrame:
     same = ratings.groupBy(*keys, "item").agg((F.min("value") == F.max("value")).cast("int").alias("same"))
     same = same.groupBy(*keys).agg(F.avg("same").alias("agree"))
     return kappa.join(same, keys).groupBy("rho", "p").agg(
-        F.avg("kappa").alias("kappa"), F.stddev_samp("kappa").alias("kappa_sd"), F.avg("agree").alias("agree")
+        F.round(F.avg("kappa"), 6).alias("kappa"), F.round(F.stddev_samp("kappa"), 6).alias("kappa_sd"), F.round(F.avg("agree"), 6).alias("agree")
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from searchloom.functions.text import modular_slice
+from searchloom.operators.sampling import order_key
 
 
 def hard_negatives(run: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
@@ -24,12 +27,17 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
 
 
 def random_fill(short: DataFrame, n_docs: int, taken: str, n: int, seed: int = 33) -> DataFrame:
-    """Ids below ``n_docs`` for queries with too few negatives: a hash of query
-    and draw, twice as many draws as asked, without those in the array ``taken``."""
+    """``filled``: n ids below ``n_docs`` for each query, none of them in the array
+    ``taken`` (all others, where there are fewer). Ids are gone through from a
+    hashed start in hashed steps that meet every id once, so as many as are
+    taken and n more hold enough."""
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("qid").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    step = next(s for s in range(max(1, n_docs * 5 // 8), 2 * n_docs + 2) if math.gcd(s, n_docs) == 1)
     draws = F.transform(
-        F.sequence(F.lit(0), F.lit(2 * n)), lambda i: F.pmod(F.xxhash64("qid", i, F.lit(seed)), F.lit(n_docs))
+        F.sequence(F.lit(0), F.least(F.size(taken) + n, F.lit(n_docs)) - 1),
+        lambda i: F.pmod(start + i.cast("long") * step, F.lit(n_docs).cast("long")),
     )
-    return short.withColumn("filled", F.slice(F.array_except(F.array_distinct(draws), F.col(taken)), 1, n))
+    return short.withColumn("filled", F.slice(F.array_except(draws, F.col(taken)), 1, n))
 
 
 def training_samples(queries: DataFrame, run: DataFrame, qrels: DataFrame, n: int, n_docs: int, seed: int = 33) -> DataFrame:
@@ -45,7 +53,7 @@ def training_samples(queries: DataFrame, run: DataFrame, qrels: DataFrame, n: in
     rows = random_fill(rows, n_docs, "taken", n, seed)
     extra = F.transform("filled", lambda d: F.struct(F.lit(0).alias("place"), d.alias("docid"), F.lit(-1.0).alias("score")))
     chosen = F.slice(F.concat("mined", extra), 1, n)
-    keyed = F.transform(chosen, lambda x: F.struct(F.xxhash64("qid", x["docid"], F.lit(seed)).alias("h"), x["docid"].alias("docid"), x["score"].alias("score")))
+    keyed = F.transform(chosen, lambda x: F.struct(order_key(F.concat_ws(":", "qid", x["docid"]), seed).alias("h"), x["docid"].alias("docid"), x["score"].alias("score")))
     rows = rows.withColumn("neg", F.array_sort(keyed))
     scores = F.transform("pos", lambda _: F.lit(-1.0))
     return rows.select(

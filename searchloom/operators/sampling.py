@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def order_key(key: str, seed: int) -> Column:
+def order_key(key: str | Column, seed: int) -> Column:
     """A random-like order that other engines can follow."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    key = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 33) -> DataFrame:

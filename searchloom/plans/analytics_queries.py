@@ -177,7 +177,22 @@ def fleiss_kappa(spark: SparkSession, folder: str) -> DataFrame:
     return agreement.fleiss_kappa(_long(spark, folder))
 
 
-@query()
+_DRAW = "sqrt(-2 * ln(({0} + 0.5) / 268435456.0)) * cos(2 * pi() * (({1} + 0.5) / 268435456.0))"
+_HEX = "CAST('0x' || substr({0}, {1}, 7) AS BIGINT)"
+
+
+def _draw(digest: str) -> str:
+    return _DRAW.format(_HEX.format(digest, 1), _HEX.format(digest, 8))
+
+
+@query(f"""WITH cells AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE), (1, 0.0, 0.9, -1.2815515655446008), (2, 0.5, 0.5, 0.0), (3, 0.5, 0.9, -1.2815515655446008)) t(cell, rho, p, bound)),
+d AS (SELECT *, md5('33:' || cell || ':' || trial || ':' || item) AS a, md5('33:' || cell || ':' || trial || ':' || item || ':' || rater) AS b
+  FROM cells, (SELECT unnest(range(1, 21)) AS trial), (SELECT unnest(range(1, 101)) AS item), (SELECT unnest(range(1, 4)) AS rater)),
+v AS (SELECT rho, p, trial, item, CASE WHEN sqrt(rho) * ({_draw("a")}) + sqrt(1 - rho) * ({_draw("b")}) > bound THEN 1 ELSE 0 END AS value FROM d),
+items AS (SELECT rho, p, trial, item, sum(value) AS y, count(*) AS r FROM v GROUP BY ALL),
+t AS (SELECT rho, p, trial, avg((y * y + (r - y) * (r - y) - r) / (r * (r - 1.0))) AS seen, sum(y) / sum(r) AS q, avg(CASE WHEN y IN (0, r) THEN 1.0 ELSE 0.0 END) AS agree FROM items GROUP BY ALL),
+k AS (SELECT *, round(CASE WHEN q * q + (1 - q) * (1 - q) = 1 THEN NULL ELSE (seen - q * q - (1 - q) * (1 - q)) / (1 - q * q - (1 - q) * (1 - q)) END, 9) AS kappa FROM t)
+SELECT rho, p, round(avg(kappa), 6) AS kappa, round(stddev_samp(kappa), 6) AS kappa_sd, round(avg(agree), 6) AS agree FROM k GROUP BY rho, p""")
 def rater_simulation(spark: SparkSession, folder: str) -> DataFrame:
     return agreement.simulation(agreement.simulated_raters(spark, [0.0, 0.5], [0.5, 0.9], 20, 100, 3))
 

@@ -59,7 +59,7 @@ _BATCH = """batch AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
 _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
 
-@query(f"""WITH {_BATCH} SELECT coalesce(b.o_orderkey, o.o_orderkey) AS o_orderkey, o.o_custkey,
+@query(f"""WITH {_BATCH} SELECT coalesce(b.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(o.o_custkey, b.o_custkey) AS o_custkey,
   coalesce(b.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(b.o_totalprice, o.o_totalprice) AS o_totalprice
 FROM orders o FULL JOIN batch b USING (o_orderkey)""")
 def upsert_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,15 +245,13 @@ def lookup_defaults(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def streaming_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Events ingested as a file stream, each id once."""
-    import uuid
-
-    from searchloom.plans.checkpoints import written
+    from searchloom.plans.checkpoints import scratch_path
     from searchloom.streaming import incremental
 
     rows = table(spark, folder, "events")
-    inbox = written(rows.select("event_id", "user_id", "event_type"), "inbox")
-    base = inbox.inputFiles()[0].rsplit("/", 1)[0]
-    target = f"{base}-{uuid.uuid4().hex}"
+    inbox, base = rows.select("event_id", "user_id", "event_type"), scratch_path(spark, "inbox")
+    inbox.write.parquet(base)
+    target = scratch_path(spark, "ingested")
     stream = incremental.file_stream(spark, base, inbox.schema)
     incremental.ingest(stream, f"{target}/out", "event_id", f"{target}/state").awaitTermination()
     return spark.read.schema(inbox.schema).parquet(f"{target}/out")

@@ -121,12 +121,31 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return mining.hard_negatives(run, qrels, 3)
 
 
-@query()
+_STEP = "(SELECT min(s) FROM (SELECT unnest(range(greatest(1, n * 5 // 8), 2 * n + 2)) AS s) WHERE gcd(s, n) = 1)"
+
+
+@query(f"""WITH {_RUN}, most AS (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM judged WHERE rel > 0 GROUP BY qid)),
+pos AS (SELECT qid, list_sort(list(DISTINCT docid)) AS pos FROM judged WHERE rel > 0 GROUP BY qid),
+mined AS (SELECT qid, list({{'docid': docid, 'score': round(1 / rank, 6)}} ORDER BY place) AS mined, list(docid) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, docid) AS place
+  FROM run WHERE rel = 0 AND rank <= (SELECT c FROM most) + 5) WHERE place <= 5 GROUP BY qid),
+size AS (SELECT count(*) AS n FROM part), steps AS (SELECT n, {_STEP} AS step FROM size),
+q AS (SELECT qid, pos, coalesce(mined, []) AS mined, list_concat(pos, coalesce(ids, [])) AS taken FROM pos LEFT JOIN mined USING (qid)),
+f AS (SELECT q.*, list_filter(list_transform(range(0, least(len(taken) + 5, n)), lambda i: (CAST('0x' || substr(md5('33:' || qid), 1, 7) AS BIGINT) + i * step) % n), lambda d: NOT list_contains(taken, d)) AS draws FROM q, steps),
+c AS (SELECT qid, pos, list_concat(mined, list_transform(draws, lambda d: {{'docid': d, 'score': -1.0::DOUBLE}}))[:5] AS neg FROM f),
+x AS (SELECT qid, unnest(neg) AS x FROM c), n AS (SELECT qid, list(x.docid ORDER BY md5('33:' || qid || ':' || x.docid)) AS ids, list(x.score ORDER BY md5('33:' || qid || ':' || x.docid)) AS scores FROM x GROUP BY qid)
+SELECT c.qid AS query_id, o_orderpriority AS query, array_to_string(pos, ',') AS positives, array_to_string(ids, ',') AS negatives, list_sum(scores) AS negative_scores
+FROM c JOIN n USING (qid) JOIN orders ON o_orderkey = c.qid""")
 def training_samples(spark: SparkSession, folder: str) -> DataFrame:
     run, qrels = _judged(spark, folder)
     queries = table(spark, folder, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("query"))
     n_docs = table(spark, folder, "part").count()
-    return mining.training_samples(queries, run, qrels, 5, n_docs)
+    rows = mining.training_samples(queries, run, qrels, 5, n_docs)
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    scores = F.aggregate("negatives.score", F.lit(0.0), lambda a, b: a + b)
+    return rows.select(
+        "query_id", "query", joined("positives.doc_id").alias("positives"), joined("negatives.doc_id").alias("negatives"),
+        scores.alias("negative_scores"),
+    )
 
 
 @query(f"""WITH {_RUN}, sides AS (SELECT qid, list(docid ORDER BY docid) FILTER (rel > 0) AS pos, list(docid ORDER BY docid) FILTER (rel = 0) AS neg FROM judged GROUP BY qid)

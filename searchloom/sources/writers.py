@@ -81,7 +81,13 @@ def remaining(requested: DataFrame, done: DataFrame, key: str = "id") -> DataFra
 
 
 def vectors(rows: DataFrame, path: str) -> None:
-    """Appends vectors whose ids aren't stored yet."""
+    """Appends vectors whose ids aren't stored yet; of an id's rows, one."""
+    rows = rows.dropDuplicates(["id"])
+    spark = rows.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        stored = spark.read.schema(schemas.EMBEDDINGS).parquet(path)
+        rows = rows.join(stored.select("id"), "id", "left_anti")
     rows.write.mode("append").parquet(path)
 
 
@@ -100,14 +106,24 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key: str, order: list[str
     return target.unionByName(first.join(target.select(key), key, "left_anti").select(*target.columns))
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A new snapshot: rows of ``batch`` replace ``columns`` of their key and are
-    added where it is new; other columns stay."""
-    new = batch.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_in"))
+def upsert(target: DataFrame, batch: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """A new snapshot: rows of ``batch`` replace ``columns`` of their key, whose
+    other columns stay; where the key is new, the whole row is added (columns
+    that the batch lacks are null). order: of a key's rows in the batch the last
+    by it counts; without it the batch has each key once."""
+    if order:
+        others = F.struct(*[c for c in batch.columns if c != key])
+        batch = batch.groupBy(key).agg(F.max_by(others, F.struct(*order)).alias("_r")).select(key, "_r.*")
+    new = batch.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in batch.columns if c != key], F.lit(True).alias("_in"))
     joined = target.withColumn("_was", F.lit(True)).join(new, key, "full")
-    return joined.select(
-        *[F.when(F.col("_in"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]
-    )
+
+    def merged(c: str) -> Column:
+        if c == key or c not in batch.columns:
+            return F.col(c)
+        taken = F.col("_in") if c in columns else F.col("_was").isNull()
+        return F.when(taken, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*[merged(c) for c in target.columns])
 
 
 def update_from(target: DataFrame, batch: DataFrame, key: str, columns: list[str]) -> DataFrame:
