@@ -18,43 +18,16 @@ def cleaned(text: str) -> str:
 
 
 def common_substring(a: str, b: str) -> int:
-    """Length of the longest common substring, by a suffix automaton of the shorter."""
+    """Length of the longest common substring: from each place of the shorter text
+    only a longer one than the best so far is sought, by the string search."""
     if len(a) > len(b):
         a, b = b, a
-    nexts: list[dict[str, int]] = [{}]
-    links, lengths, last = [-1], [0], 0
-    for ch in a:
-        here = len(nexts)
-        nexts.append({})
-        lengths.append(lengths[last] + 1)
-        links.append(0)
-        p = last
-        while p != -1 and ch not in nexts[p]:
-            nexts[p][ch] = here
-            p = links[p]
-        if p != -1:
-            q = nexts[p][ch]
-            if lengths[p] + 1 == lengths[q]:
-                links[here] = q
-            else:
-                clone = len(nexts)
-                nexts.append(dict(nexts[q]))
-                lengths.append(lengths[p] + 1)
-                links.append(links[q])
-                while p != -1 and nexts[p].get(ch) == q:
-                    nexts[p][ch] = clone
-                    p = links[p]
-                links[q] = links[here] = clone
-        last = here
-    state = size = best = 0
-    for ch in b:
-        while state and ch not in nexts[state]:
-            state = links[state]
-            size = lengths[state]
-        if ch in nexts[state]:
-            state = nexts[state][ch]
-            size += 1
-        best = max(best, size)
+    best = 0
+    for i in range(len(a)):
+        if i + best >= len(a):
+            break
+        while i + best < len(a) and a[i : i + best + 1] in b:
+            best += 1
     return best
 
 

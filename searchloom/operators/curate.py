@@ -30,9 +30,10 @@ def clean_questions(
     order) stays. seeds: ``pattern``; questions that are one of them go.
     """
     rows = questions.withColumn("question", text.without_opening_marks(F.col("question")))
-    rows = first_of(rows, ["question"], order)
     lowered = F.lower("question")
+    # Rules look at the question alone, so they come before anything is shuffled.
     rows = rows.where(text.has_three_words(F.col("question")) & ~text.is_unwanted(lowered))
+    rows = first_of(rows, ["question"], order)
     rows = rows.withColumn("_key", text.unaccent(lowered)).withColumn("_lower", lowered)
     if strip_site_suffix:
         rows = first_of(rows.withColumn("question", text.without_site(F.col("question"))), ["question"], order)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from searchloom.functions import vectors
+from searchloom.functions import text, vectors
 from searchloom.operators import dataset, evaluate, match, mining, retrieve
 from searchloom.operators.corpus import passages
 from searchloom.plans.registry import query
@@ -98,15 +98,40 @@ def error_analysis_min_hit_rank(spark: SparkSession, folder: str) -> DataFrame:
 _TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-@query(f"""WITH wanted AS (SELECT DISTINCT item_id AS qid, unnest({_TERMS.format('text')}) AS term FROM benchmark),
-docs AS (SELECT doc_id AS docid, {_TERMS.format('text')} AS ts FROM documents),
+def _bm25_sql(terms: str) -> str:
+    return f"""WITH wanted AS (SELECT DISTINCT item_id AS qid, unnest({terms}) AS term FROM benchmark),
+docs AS (SELECT doc_id AS docid, {terms} AS ts FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
 found AS (SELECT docid, term, dl, count(*) AS tf FROM (SELECT docid, len(ts) AS dl, unnest(ts) AS term FROM docs)
   WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM found GROUP BY term),
 scored AS (SELECT qid, docid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))), 6) AS score
   FROM found JOIN dfs USING (term) JOIN wanted USING (term) CROSS JOIN stats GROUP BY ALL)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS INT) AS rank FROM scored) WHERE rank <= 10""")
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS INT) AS rank FROM scored) WHERE rank <= 10"""
+
+
+_FOLDED = f"list_transform({_TERMS.format('text')}, lambda t: translate(t, '{text.MARKED}ñÑ', '{text.PLAIN}nN'))"
+_STOP = ", ".join(f"'{w}'" for w in retrieve.SPANISH_STOP_WORDS)
+_SPANISH = f"""list_transform(list_filter({_FOLDED}, lambda t: NOT list_contains([{_STOP}], t)), lambda t: CASE WHEN length(t) < 5 THEN t
+  WHEN regexp_matches(t, '[oae]$') THEN t[:length(t) - 1] WHEN t LIKE '%eses' THEN t[:length(t) - 2] WHEN t LIKE '%ces' THEN t[:length(t) - 3] || 'z'
+  WHEN regexp_matches(t, '[oae]s$') THEN t[:length(t) - 2] ELSE t END)"""
+
+
+@query(_bm25_sql(_SPANISH))
+def bm25_es_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """With the Spanish analyzer: no stop words, no accents, light stems."""
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return retrieve.bm25_topk(queries, docs, 10, language="es")
+
+
+@query(f"SELECT docid, dl, term, count(*) AS tf FROM (SELECT docid, len(ts) AS dl, unnest(ts) AS term FROM (SELECT doc_id AS docid, {_SPANISH} AS ts FROM documents)) GROUP BY ALL")
+def index_postings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return retrieve.postings(docs, "es")
+
+
+@query(_bm25_sql(_TERMS.format("text")))
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("docid"), "text")
