@@ -191,7 +191,7 @@ def test_merges_are_idempotent(spark):
     target = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, x string, y int")
     batch = spark.createDataFrame([(2, "c", 9), (3, "d", 9)], "id int, x string, y int")
     once = writers.upsert(target, batch, "id", ["x"])
-    assert sorted(map(tuple, writers.upsert(once, batch, "id", ["x"]).collect())) == sorted(map(tuple, once.collect())) == [(1, "a", 1), (2, "c", 2), (3, "d", None)]
+    assert sorted(map(tuple, writers.upsert(once, batch, "id", ["x"]).collect())) == sorted(map(tuple, once.collect())) == [(1, "a", 1), (2, "c", 2), (3, "d", 9)]
     repeated = batch.union(spark.createDataFrame([(3, "e", 8)], batch.schema))
     assert sorted(map(tuple, writers.insert_ignore(target, repeated, "id", ["y"]).collect())) == [(1, "a", 1), (2, "b", 2), (3, "e", 8)]
 
