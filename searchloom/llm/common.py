@@ -26,11 +26,13 @@ _local_root: str | None = None
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one of
-    this driver where the setting is absent (local runs and tests)."""
+    this driver where the setting is absent and the master is local."""
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="searchloom-")
         atexit.register(shutil.rmtree, _local_root, True)
@@ -54,6 +56,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`stage` made and nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        target = context._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The columns of exactly these names, by position, so that other columns
     whose names differ only in case (or are repeated) do no harm."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.llm.common import stage
+from searchloom.llm.common import dropped, stage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round is two joins on the node; no node's neighbours are ever
     gathered in one row, and the driver sees only a count and a checksum.
-    Each round is a table in the shared folder.
+    Each round is a table in the shared folder, which replaces the one before.
     """
     edges = (
         edges.where("u <> v")
@@ -44,7 +44,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = stage(small, "small-star")
+        before, edges = edges, stage(small, "small-star")
+        dropped(before)
+        dropped(large)
         now = _signature(edges)
         if now == seen:
             break

@@ -6,7 +6,8 @@ whose first ``l`` segments differ in at most ``l * BUDGET / SEGMENTS`` bits for
 every ``l``. With five segments and two bits, both first segments of that chain
 are equal, the third brings the sum to one at most, the fourth too, and the
 fifth to two: fingerprints meet on two whole segments (25 or 26 bits) and
-further sums prune them before the Hamming check.
+further sums prune them before the Hamming check. Where many meet, they meet on
+the third segment too, or one bit beside it (38 or 39 bits).
 
 Edge cases: a null text counts as an empty one (fingerprint 0); rows that
 repeat, or share an id, each get a row; a null id never becomes a component's
@@ -31,7 +32,7 @@ SHINGLE, SEED, BUDGET = 3, 42, 2
 WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = (0, 13, 26, 39, 52)
 SEGMENTS = len(WIDTHS)
-#: Buckets of more fingerprints are linked through one-bit neighbours instead of pairs; either way is exact.
+#: Buckets of more fingerprints are split by the third segment of their chain.
 PAIRED_BUCKET = 1024
 _FULL = (1 << 64) - 1
 
@@ -83,6 +84,16 @@ def chain_keys() -> Column:
     )
 
 
+def _third_keys(start: Column) -> Column:
+    """The third segment of a chain and all values that differ from it in one
+    bit, which is what its budget allows: two fingerprints of a chain share the
+    third segment of either."""
+    third = F.coalesce(*[F.when(start == i, _segment(i + 2)) for i in range(SEGMENTS)])
+    width = F.element_at(F.array(*[F.lit(WIDTHS[(i + 2) % SEGMENTS]) for i in range(SEGMENTS)]), (start + 1).cast("int"))
+    flips = F.transform(F.sequence(F.lit(0), width - 1), lambda b: third.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    return F.concat(F.array(third), flips)
+
+
 def _chain_masks(start: int) -> list[np.uint64]:
     """Masks of the third segment, third and fourth, and all, of a chain."""
     mask = [((1 << WIDTHS[i]) - 1) << OFFSETS[i] for i in range(SEGMENTS)]
@@ -144,19 +155,15 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps"))
         .mapInArrow(_paired, "u long, v long")
     )
-    # Two within two bits share a fingerprint within one bit of both; at most 65 meet on one.
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
-    centred = (
+    return paired.union(
         met.where(F.col("n") > PAIRED_BUCKET)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(flips).alias("centre"))
-        .groupBy("centre")
+        .select("fp", "k", F.explode(_third_keys(F.col("k") % SEGMENTS)).alias("third"))
+        .groupBy("k", "third")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
-        .select(F.explode("fps").alias("u"), F.array_min("fps").alias("v"))
+        .select("k", "fps")
+        .mapInArrow(_paired, "u long, v long")
     )
-    return paired.union(centred.where("u <> v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,4 +201,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.join(shared.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     rows = rows.withColumn("_fp", fingerprint_udf("text"))
     rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_chosen")), "left_semi")
-    return plain.unionByName(rows.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = F.min(F.struct("text", *others)).alias("_row")  # of rows that share id and fingerprint, that of the least text
+    rows = rows.groupBy("doc_id", "_fp").agg(one).select("doc_id", "_row.*")
+    return plain.unionByName(rows.select(*docs.columns))

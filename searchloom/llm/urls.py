@@ -3,9 +3,11 @@
 Everything is column expressions: features, the fitted trees (compiled to
 nested conditions) and the rules run inside generated code. The trees are
 fitted on labelled URLs, here those that a rule decides; of them, distinct,
-about ``MOST_TRAINED`` at most, by a hash of the URL. Suffix statistics are
-block rates over all labelled URLs, by a hash of the suffix into
-``SUFFIX_BINS`` bins, which bounds what is sent with a plan.
+about half of ``MOST_TRAINED`` of each label at most, by a hash of the URL, with
+weights that restore their numbers. Suffix statistics are block rates over all
+labelled URLs, by a hash of the suffix into ``SUFFIX_BINS`` bins, which bounds
+what is sent with a plan. A URL that is fitted gets the rates of the other half
+of the labelled URLs, so its own label isn't among its features.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule, and is judged by its (constant) features; labels of one kind
@@ -15,6 +17,7 @@ that repeat are judged alike; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -78,8 +81,13 @@ def _bin(suffix: Column) -> Column:
     return F.pmod(F.xxhash64(suffix), F.lit(SUFFIX_BINS)).cast("int")
 
 
-def features(url: Column, host: Column, path: Column, rates: dict[str, list[float]]) -> dict[str, Column]:
-    """Lexical features of a URL; rates: block rate by bin of each suffix."""
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(2))
+
+
+def features(url: Column, host: Column, path: Column, rates: dict[str, list[float]], apart=None) -> dict[str, Column]:
+    """Lexical features of a URL; rates: block rate by bin of each suffix. apart:
+    such rates of each half of the labelled URLs, where a URL takes those of the other half."""
     text = F.coalesce(url, F.lit(""))
     lowered = lower_ascii(text)
     size = F.greatest(F.length(text), F.lit(1))
@@ -103,7 +111,8 @@ def features(url: Column, host: Column, path: Column, rates: dict[str, list[floa
         "secure": F.startswith(lowered, F.lit("https:")).cast("int"),
     }
     for name, suffix in _suffixes(host, path).items():
-        out[f"{name}_rate"] = F.element_at(F.array(*[F.lit(x) for x in rates[name]]), _bin(suffix) + 1)
+        rate = lambda r, at=_bin(suffix) + 1, name=name: F.element_at(F.array(*[F.lit(x) for x in r[name]]), at)
+        out[f"{name}_rate"] = rate(rates) if apart is None else F.when(_fold(url) == 0, rate(apart[1])).otherwise(rate(apart[0]))
     return {k: v.cast("double") for k, v in out.items()}
 
 
@@ -136,22 +145,30 @@ def fit(labelled: DataFrame, most: int = MOST_TRAINED) -> UrlModel:
     labelled = stage(labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")), "labelled-urls")
     total, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (blocked + 1) / (total + 2)
-    rates = {}
+    rates, apart = {}, ({}, {})
     for name, suffix in _suffixes(F.col("host"), F.col("path")).items():
-        found = labelled.groupBy(_bin(suffix).alias("bin")).agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-        by_bin = {r["bin"]: (r["b"] + 2 * prior) / (r["n"] + 2) for r in found.collect()}  # SUFFIX_BINS rows at most
-        rates[name] = [float(by_bin.get(i, prior)) for i in range(SUFFIX_BINS)]
+        found = labelled.groupBy(_bin(suffix).alias("bin"), _fold(F.col("url")).alias("fold"))
+        rows = found.agg(F.sum("label").alias("b"), F.count("*").alias("n")).collect()  # 2 * SUFFIX_BINS rows at most
+        for into, folds in ((rates, (0, 1)), (apart[0], (0,)), (apart[1], (1,))):
+            sums = {i: (0, 0) for i in range(SUFFIX_BINS)}
+            for r in rows:
+                if r["fold"] in folds:
+                    b, n = sums[r["bin"]]
+                    sums[r["bin"]] = b + r["b"], n + r["n"]
+            into[name] = [(b + 2 * prior) / (n + 2) for b, n in (sums[i] for i in range(SUFFIX_BINS))]
     if not 0 < blocked < total:
         return UrlModel(rates, None)
-    if total > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(most / total * (1 << 20)))
-    row = features(F.col("url"), F.col("host"), F.col("path"), rates)
-    table = labelled.select(*[c.alias(n) for n, c in row.items()], F.col("label").cast("double").alias("label"))
+    share = {label: min(1.0, most / 2 / n) for label, n in ((0, total - blocked), (1, blocked))}
+    of_label = lambda x: F.when(F.col("label") == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
+    limit = of_label({label: math.ceil(s * (1 << 40)) for label, s in share.items()})
+    labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < limit)
+    row = features(F.col("url"), F.col("host"), F.col("path"), rates, apart)
+    weight = of_label({label: max(share.values()) / s for label, s in share.items()})
+    table = labelled.select(*[c.alias(n) for n, c in row.items()], F.col("label").cast("double").alias("label"), weight.alias("weight"))
     table = stage(table, "url-features")
     table = VectorAssembler(inputCols=list(row), outputCol="features").transform(table).coalesce(2)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(
-        table.select("features", "label")
-    )
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32, weightCol="weight")
+    model = trees.fit(table.select("features", "label", "weight"))
     java = model._java_obj
     return UrlModel(rates, [(w, t.rootNode()) for w, t in zip(java.treeWeights(), java.trees(), strict=True)])
 

@@ -83,7 +83,7 @@ def linked(values, pairs):
 
 @pytest.mark.parametrize("paired", [1, 1024])
 def test_links_lose_nothing(spark, monkeypatch, paired):
-    """Random fingerprints with many neighbours; both ways of linking a bucket."""
+    """Random fingerprints with many neighbours; every bucket whole, or every one split."""
     monkeypatch.setattr(simhash, "PAIRED_BUCKET", paired)
     rng = random.Random(paired)
     values = set()

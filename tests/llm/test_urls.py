@@ -66,6 +66,35 @@ def test_trees_learn_and_agree(spark):
     assert all(label == block for label, block in first) and first == judged()
 
 
+def test_held_out_urls(spark, folder):
+    """Trees that never saw a fifth of the URLs that a rule decides judge these as the rules do."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet".replace("sf0.001", "sf0.01")).select("url").where("url IS NOT NULL").distinct()
+    rows = pages.select("url", urls.host_of(pages["url"]).alias("host"), urls.path_of(pages["url"]).alias("path"))
+    rows = rows.withColumn("label", (urls.rule_of(rows["host"], rows["path"])[1] == "block").cast("int")).where("label IS NOT NULL")
+    out = "pmod(xxhash64(url, 'held'), 5) = 0"
+    model = urls.fit(rows.where(f"NOT {out}"))
+    held = rows.where(out)
+    wide = held.select("label", *[c.alias(n) for n, c in urls.features(held["url"], held["host"], held["path"], model.rates).items()])
+    names = [c for c in wide.columns if c != "label"]
+    judged = [(r["label"], int(r["m"] > 0)) for r in wide.select("label", model.margin({n: wide[n] for n in names}).alias("m")).collect()]
+    assert len(judged) >= 20 and sum(a == b for a, b in judged) / len(judged) >= 0.8
+
+
+def test_a_rare_label_is_never_lost(spark):
+    """3 blocked URLs among 3000, 200 of which are fitted; a URL of 300 KB."""
+    rare = [f"http://bad{i}.net/es/{i}" for i in range(3)]
+    given = [f"http://site{i}.com/page{i % 7}" for i in range(3000)] + rare + ["http://x.com/" + "a/b" * 100_000]
+    rows = spark.createDataFrame([(u,) for u in given], "url string")
+    rows = rows.select("url", urls.host_of(rows["url"]).alias("host"), urls.path_of(rows["url"]).alias("path"))
+    rows = rows.withColumn("label", (urls.rule_of(rows["host"], rows["path"])[1] == "block").cast("int"))
+    model = urls.fit(rows, most=200)
+    wide = rows.select("label", *[c.alias(n) for n, c in urls.features(rows["url"], rows["host"], rows["path"], model.rates).items()])
+    names = [c for c in wide.columns if c != "label"]
+    got = wide.select("label", (model.margin({n: wide[n] for n in names}) > 0).cast("int").alias("p")).collect()
+    assert model.trees is not None and sum(r["label"] for r in got) == 3
+    assert sum(r["p"] != r["label"] for r in got) <= 30
+
+
 def test_edges(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     only = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, "http://b.org/x")], "page_id long, url string")
