@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from searchloom.plans import analytics_queries, curation_queries, io_queries, ranking_queries  # noqa: F401
+from searchloom.plans import analytics_queries, curation_queries, io_queries, ranking_queries, report_queries  # noqa: F401
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
