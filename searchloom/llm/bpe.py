@@ -46,8 +46,8 @@ _CLASS[0] = _END
 _WIDTH, _LONGEST = 16, 256
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SLOT_BITS = 20
-#: Chunks of a generation (over half of the slots), and long ones.
-_GENERATION, _LONG_GENERATION = 500_000, 100_000
+#: Chunks of a generation (two thirds of the slots), and long ones.
+_GENERATION, _LONG_GENERATION = 700_000, 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -142,9 +142,10 @@ class Encoder:
             return [t.id for t in self.model.tokenize(_BYTES[32] + chunk[1:].decode())]
         return [i for token in _PRETOKEN.findall(chunk.decode()) for i in self._token(token)]
 
-    def _turn(self) -> None:
-        """A new generation, once the young one is full."""
-        if self.known.size > _GENERATION or len(self.known.long) > _LONG_GENERATION:
+    def _turn(self, more: int) -> None:
+        """A new generation, once the young one is full or may not hold so many more."""
+        full = self.known.size > _GENERATION or self.known.size + more > 0.9 * (1 << _SLOT_BITS)
+        if self.known.size and (full or len(self.known.long) > _LONG_GENERATION):
             self.older, self.known = self.known, _Table(_SLOT_BITS, self.dtype)
 
     def _learn(self, data: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
@@ -177,7 +178,6 @@ class Encoder:
 
     def _found(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts in the checked alphabet."""
-        self._turn()
         data = b"\0".join([*texts, b""])
         flat = np.frombuffer(data, np.uint8)
         kind = np.zeros(len(data) + 2, np.uint8)  # an end before and after
@@ -191,6 +191,7 @@ class Encoder:
         begins |= (kind[own] & _STOP > 0) & (kind[before] & _ALNUM > 0) & ~inside[after]
         begins |= (kind[own] | kind[before]) & _END > 0
         starts = np.flatnonzero(begins)
+        self._turn(len(starts))
         ends = np.concatenate((starts[1:], [len(data)]))
         sizes = ends - starts
         padded = np.frombuffer(data + bytes(_WIDTH), np.uint8)
