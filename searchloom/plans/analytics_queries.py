@@ -223,6 +223,20 @@ def ctfidf_topics(spark: SparkSession, folder: str) -> DataFrame:
     return topics.top_terms(_weights(spark, folder)[1], "source", 10)
 
 
+_STOP = ", ".join(f"'{w}'" for w in retrieve.SPANISH_STOP_WORDS)
+_KEPT_TERMS = f"""list_filter(list_transform({_TOPIC_TERMS}, lambda t: translate(t, '{text.MARKED}ñÑ', '{text.PLAIN}nN')), lambda t: NOT list_contains([{_STOP}], t))"""
+
+
+@query(f"WITH {_CTFIDF.replace(_TOPIC_TERMS, _KEPT_TERMS)} SELECT source, term, c, weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS INT) AS place FROM w) WHERE place <= 10")
+def ctfidf_es_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic terms without accents and Spanish stop words."""
+    stop = F.array(*map(F.lit, retrieve.SPANISH_STOP_WORDS))
+    plain = F.transform(retrieve.terms(F.col("text")), lambda t: text.unaccent(t))
+    kept = F.filter(plain, lambda t: ~F.array_contains(stop, t))
+    terms = table(spark, folder, "documents").select("source", F.explode(kept).alias("term"))
+    return topics.top_terms(topics.ctfidf(terms, "source"), "source", 10)
+
+
 @query(f"""WITH {_CTFIDF}, d AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({_TOPIC_TERMS}) AS term FROM documents) GROUP BY ALL),
 s AS (SELECT source, doc_id, sum(tf * weight) AS dot FROM d JOIN w USING (source, term) GROUP BY ALL),
 n AS (SELECT source, doc_id, sqrt(sum(tf * tf)) AS d FROM d GROUP BY ALL), t AS (SELECT source, sqrt(sum(weight * weight)) AS t FROM w GROUP BY source),

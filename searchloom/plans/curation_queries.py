@@ -143,8 +143,10 @@ def search_urls(spark: SparkSession, folder: str) -> DataFrame:
     return curate.with_search_url(rows).select("c_custkey", "url")
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN NOT regexp_matches(html, '<h2|answered-question|kp-header|data-attrid') THEN 'no_answer' END AS answer_type, NULL::VARCHAR AS short_answer,
+  NULL::VARCHAR AS answer, NULL::VARCHAR[] AS items, NULL::VARCHAR AS answer_url, contains(lower(html), 'se incluyen resultados de') AS expanded_search FROM pages""")
 def html_extract_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw pages; none has a heading or a mark (``page_rules`` has pages of every kind)."""
     pages = table(spark, folder, "pages").select("page_id", html_extract.extract_answer("html").alias("a"))
     return pages.select("page_id", "a.*")
 

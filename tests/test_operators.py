@@ -275,3 +275,23 @@ def test_token_bounds(spark):
     rows = spark.createDataFrame([("one two three",), ("",), (None,)], "t string")
     got = rows.select(tokens.token_length(path, 2)("t").alias("n"), tokens.truncated(path, 2)("t").alias("c")).collect()
     assert [tuple(r) for r in got] == [(2, "one two"), (0, ""), (None, None)]
+
+
+def test_reduction_and_clusters(spark, folder):
+    """Components keep what numpy's do; every vector is in the cluster of the nearest mean."""
+    import numpy as np
+
+    from searchloom.operators import topics
+
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    given = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    data = np.stack([given[i] for i in sorted(given)])
+    got = {r["vec_id"]: np.array(r["reduced"]) for r in topics.reduced(rows, "embedding", 8).collect()}
+    kept = np.var(np.stack([got[i] for i in sorted(got)]), axis=0).sum()
+    centred = data - data.mean(axis=0)
+    want = (np.linalg.svd(centred, compute_uv=False)[:8] ** 2).sum() / len(data)
+    assert abs(kept - want) < 1e-6 * want
+    labels = {r["vec_id"]: r["topic"] for r in topics.clusters(rows, "embedding", 5).collect()}
+    means = {t: np.mean([given[i] for i in given if labels[i] == t], axis=0) for t in set(labels.values())}
+    near = sum(min(means, key=lambda t: ((given[i] - means[t]) ** 2).sum()) == labels[i] for i in given)
+    assert len(means) == 5 and near >= 0.95 * len(given)
